@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, token_output
+from . import packing, pii, quality, token_output, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +16,32 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=2, size=1024)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenized(table(spark, sf_dir, "documents"), end_id=0)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_pii": op1_pii, "op3_packing": op3_packing, "op10_token_ids": op10_token_ids}
+    return {
+        "op1_pii": op1_pii,
+        "op2_toxicity": op2_toxicity,
+        "op3_packing": op3_packing,
+        "op4_quality": op4_quality,
+        "op10_token_ids": op10_token_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
