@@ -46,15 +46,43 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by content alone."""
+#: Of rolling sums: an odd base, its inverse modulo 2**64, and a number for each byte.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64))
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, kept for later calls."""
+    if base not in _powers or len(_powers[base]) < n:
+        made = np.full(n, base, np.uint64)
+        made[:1] = 1
+        _powers[base] = np.cumprod(made, dtype=np.uint64)
+    return _powers[base][:n]
+
+
+def rolling(raw: np.ndarray) -> np.ndarray:
+    """Sums of byte numbers times powers of the base, so that any span's hash is a difference."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(NUMBERS[raw] * powers(BASE, len(raw)), dtype=np.uint64, out=total[1:])
+    return total
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by content and length alone."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15 | 1)
-    size = ends - starts
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    powers = np.cumprod(np.full(int(size.max()), base, np.uint64)) if size.max() else np.empty(0, np.uint64)
-    terms = mixed(raw[np.repeat(starts, size) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    edges = np.cumsum(size)
-    return mixed((total[edges] - total[edges - size]) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    total = rolling(raw) if total is None else total
+    at = (total[ends] - total[starts]) * powers(INVERSE, len(raw) + 1)[starts]
+    return mixed(at ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def row_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` neighbours of an array of hashes, by order and content."""
+    if len(values) < n:
+        return np.empty(0, np.uint64)
+    made = np.zeros(len(values) - n + 1, np.uint64)
+    for j in range(n):
+        made = made * np.uint64(BASE) + values[j : j + len(made)]
+    return mixed(made)

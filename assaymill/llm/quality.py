@@ -26,7 +26,7 @@ FOLDS, HELD, THRESHOLD = 4, 2, 0.7
 #: Sign classes whose share of all bytes is a feature.
 SIGNS = ("#", "%", "&", "*", "$", "|", "!", ".", ",", "?", "-", "/", ":;", "()[]{}<>", "'\"", "@_=+^~`\\")
 #: Longest stretch whose bytes are looked at together.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
