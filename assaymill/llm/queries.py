@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, packing, pii, quality, token_output, toxicity
+from . import decontamination, embeddings, html, packing, pii, quality, token_output, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_quality": op4_quality,
         "op6_decontamination": op6_decontamination,
+        "op8_embeddings": op8_embeddings,
         "op9_html": op9_html,
         "op10_token_ids": op10_token_ids,
     }
