@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html, jaccard, packing, pii, quality, token_output, toxicity
+from . import decontamination, embeddings, html, jaccard, packing, pii, quality, substrings, token_output, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op4_quality": op4_quality,
         "op5_jaccard": op5_jaccard,
         "op6_decontamination": op6_decontamination,
+        "op7_substrings": op7_substrings,
         "op8_embeddings": op8_embeddings,
         "op9_html": op9_html,
         "op10_token_ids": op10_token_ids,
