@@ -33,7 +33,7 @@ from .suffixes import common_prefixes, suffix_array
 SPAN, GRAM = 200, 50
 WIDTH = SPAN - GRAM + 1
 #: Stretches of a group that are sorted together, bytes that are sorted at once, and ids that are broadcast at most.
-HOT, AT_ONCE, IDS_AT_ONCE = 128, 1_000_000, 2_000_000
+HOT, AT_ONCE, IDS_AT_ONCE = 4096, 1_000_000, 2_000_000
 #: Bits of a filter: so many for each entry, up to a bound.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 CHUNK = 1 << 20
@@ -243,17 +243,24 @@ def hot_repeats(texts: DataFrame, groups: Broadcast) -> DataFrame:
             new = np.concatenate([[True], (x[by][1:] != x[by][:-1]) | (y[by][1:] != y[by][:-1])])
             n = np.diff(np.append(np.flatnonzero(new), len(by)))
             many = np.repeat(n > 1, n)
-            # repeats within the batch are known as such; one of them goes on to meet those of other batches
-            out = np.concatenate([by[many], by[new]])
-            kind = np.concatenate([np.full(many.sum(), 0), np.where(n > 1, 2, 1)])
-            columns = [b.column(0).take(pa.array(k[out])), pa.array(s[out]), pa.array(x[out].view(np.int64)), pa.array(y[out].view(np.int64)), pa.array(kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "x", "y", "kind"])
-
-    found = stored(texts.mapInArrow(go, "key binary, lo long, x long, y long, kind long"), "hot-strings")
-    met = found.where("kind > 0")
+            # repeats within the batch are known as such, as runs; one of them goes on to meet those of other batches
+            known_now = np.sort(by[many])
+            row_of, at_of = k[known_now], s[known_now]
+            edge = np.concatenate([[True], (row_of[1:] != row_of[:-1]) | (at_of[1:] != at_of[:-1] + 1)]) if len(at_of) else np.empty(0, bool)
+            first = np.flatnonzero(edge)
+            last = np.append(first[1:] - 1, len(at_of) - 1) if len(first) else first
+            one_of = by[new]
+            none = np.zeros(len(first), np.int64)
+            columns = [
+                b.column(0).take(pa.array(np.concatenate([row_of[first], k[one_of]]))), pa.array(np.concatenate([at_of[first], s[one_of]])), pa.array(np.concatenate([at_of[last], s[one_of]])),
+                pa.array(np.concatenate([none, x[one_of].view(np.int64)])), pa.array(np.concatenate([none, y[one_of].view(np.int64)])), pa.array(np.concatenate([none == 1, n > 0])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "hi", "x", "y", "meets"])
+
+    found = stored(texts.mapInArrow(go, "key binary, lo long, hi long, x long, y long, meets boolean"), "hot-strings")
+    met = found.where("meets")
     again = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-    later = met.join(again, ["x", "y"], "left_semi").select("key", "lo")
-    return found.where("kind = 0").select("key", "lo").unionByName(later).select("key", "lo", F.col("lo").alias("hi"))
+    return found.where("NOT meets").select("key", "lo", "hi").unionByName(met.join(again, ["x", "y"], "left_semi").select("key", "lo", "hi"))
 
 
 def among(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
