@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, spread, stored
-from .graph import components
+from .graph import components, forest
 
 #: Classes of a part at most, which bounds what a task holds.
 PART = 1024
@@ -105,27 +105,6 @@ def dual(a: CoverTree, b: CoverTree, threshold: float) -> np.ndarray:
     return whole
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, column) that join what the links join, one fewer than the members of each component at most."""
-    n, m = linked.shape
-    rows, columns, edges = np.zeros(n, bool), np.zeros(m, bool), []
-    for r in np.flatnonzero(linked.any(1)):
-        if rows[r]:
-            continue
-        rows[r], queue = True, [int(r)]
-        while queue:
-            x = queue.pop()
-            new = np.flatnonzero(linked[x] & ~columns)
-            columns[new] = True
-            edges += [(x, int(c)) for c in new]
-            for c in new:
-                more = np.flatnonzero(linked[:, c] & ~rows)
-                rows[more] = True
-                edges += [(int(y), int(c)) for y in more]
-                queue += more.tolist()
-    return edges
-
-
 def checked(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(id, label, raw vector or null where it links with nothing, its place along a fixed direction)."""
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,24 @@ def components(edges: DataFrame) -> DataFrame:
     hung = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     roots = now.select(F.col("v").alias("id")).distinct()
     return hung.unionByName(roots.select("id", F.col("id").alias("component")).join(hung.select("id"), "id", "left_anti"))
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that join what the links join, one fewer than the members of each component at most."""
+    n, m = linked.shape
+    rows, columns, edges = np.zeros(n, bool), np.zeros(m, bool), []
+    for r in np.flatnonzero(linked.any(1)):
+        if rows[r]:
+            continue
+        rows[r], queue = True, [int(r)]
+        while queue:
+            x = queue.pop()
+            new = np.flatnonzero(linked[x] & ~columns)
+            columns[new] = True
+            edges += [(x, int(c)) for c in new]
+            for c in new:
+                more = np.flatnonzero(linked[:, c] & ~rows)
+                rows[more] = True
+                edges += [(int(y), int(c)) for y in more]
+                queue += more.tolist()
+    return edges

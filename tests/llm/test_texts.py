@@ -170,10 +170,10 @@ def grouped(n, linked):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("leaf", [48, 2])
-def test_jaccard_join_is_exact(spark, monkeypatch, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
-    r, texts = Random(leaf), corpus(leaf)
+@pytest.mark.parametrize("block", [512, 2])
+def test_jaccard_join_is_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r, texts = Random(block), corpus(block)
     chain = words(r, 60).split()  # each links with the next only
     for k in range(12):
         texts.append(" ".join(chain))
