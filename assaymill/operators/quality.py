@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from assaymill import schemas as S
 from assaymill.functions.text import json_list
 
-# Checks whose failure can't be mended by a review alone.
-HARD = ["answerability", "correctness", "faithfulness"]
-
-
 def parsed_checks(replies: DataFrame) -> DataFrame:
     """(case_id, check_type, passed, reason): all five checks of a reply; missing ones and those that are no boolean fail."""
     items = replies.select("case_id", json_list(F.col("reply"), "struct<check_type:string,passed:string,reason:string>").alias("items"))
@@ -23,7 +19,7 @@ def parsed_checks(replies: DataFrame) -> DataFrame:
 
 def by_case(checks: DataFrame) -> DataFrame:
     """(case_id, n_checks, passed, failed_hard, failed_soft, reasons) of each case with checks."""
-    bad, hard = ~F.coalesce("passed", F.lit(False)), F.col("check_type").isin(HARD)
+    bad, hard = ~F.coalesce("passed", F.lit(False)), F.col("check_type").isin(S.HARD_CHECKS)
     return checks.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_checks"), (F.count_if(bad) == 0).alias("passed"), F.count_if(bad & hard).alias("failed_hard"), F.count_if(bad & ~hard).alias("failed_soft"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(bad, F.struct("check_type", "reason")))), lambda x: x["reason"]), ";").alias("reasons"),

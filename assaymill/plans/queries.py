@@ -297,7 +297,7 @@ def agg19_case_checks(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT case_id, CASE WHEN h + f = 0 THEN 'quality_verified' ELSE 'needs_review' END AS review_status, CASE WHEN h + f = 0 THEN NULL WHEN h = 0 THEN 'answer_coverage' ELSE 'generation_issue' END AS review_tag FROM (
-SELECT case_id, sum(CASE WHEN NOT passed AND check_type = 'faithfulness' THEN 1 ELSE 0 END) AS h, sum(CASE WHEN NOT passed AND check_type = 'completeness' THEN 1 ELSE 0 END) AS f FROM v_checks GROUP BY case_id)""", "checks")
+SELECT case_id, sum(CASE WHEN NOT passed AND check_type = 'faithfulness' THEN 1 ELSE 0 END) AS h, sum(CASE WHEN NOT passed AND check_type = 'uniqueness' THEN 1 ELSE 0 END) AS f FROM v_checks GROUP BY case_id)""", "checks")
 def wfl08_transitions(s: SparkSession, d: str) -> DataFrame:
     cases = view(s, d, "text").select(F.col("document_id").alias("case_id"))
     return Q.transition(cases, checks(s, d)).drop("regenerate")

@@ -56,7 +56,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two checks of each labelled case."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return labels.selectExpr("doc_id AS case_id", "stack(2, 'faithfulness', quality = 1, 'completeness', toxic = 0) AS (check_type, passed)").selectExpr("*", "concat(check_type, ' failed') AS reason")
+    return labels.selectExpr("doc_id AS case_id", "stack(2, 'faithfulness', quality = 1, 'uniqueness', toxic = 0) AS (check_type, passed)").selectExpr("*", "concat(check_type, ' failed') AS reason")
 
 
 def sql_view(name: str) -> str:
@@ -65,7 +65,7 @@ def sql_view(name: str) -> str:
 
 
 CHECKS_SQL = """SELECT doc_id AS case_id, 'faithfulness' AS check_type, quality = 1 AS passed, 'faithfulness failed' AS reason FROM labels
-UNION ALL SELECT doc_id, 'completeness', toxic = 0, 'completeness failed' FROM labels"""
+UNION ALL SELECT doc_id, 'uniqueness', toxic = 0, 'uniqueness failed' FROM labels"""
 
 
 def with_views(sql: str, *names: str) -> str:

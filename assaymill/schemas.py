@@ -9,7 +9,8 @@ PUBLISHABLE = ["quality_verified", "governance_passed", "user_confirmed", "publi
 REVIEW_STATUSES = ["candidate", "needs_review", "needs_revision", *PUBLISHABLE, "blocked", "retired"]
 VERSION_STATUSES = ["draft", "frozen", "published"]
 COMPOSITION_SOURCES = ["doc_generated", "uploaded", "public"]
-CHECK_TYPES = ["answerability", "correctness", "faithfulness", "completeness", "uniqueness"]
+CHECK_TYPES = ["answerability", "faithfulness", "uniqueness", "evidence_sufficiency", "question_relevance"]
+HARD_CHECKS = ["answerability", "faithfulness", "question_relevance"]
 UPLOAD_EXTENSIONS = [".txt", ".md", ".pdf", ".docx", ".xlsx", ".csv"]
 UNFILED, NO_DOCUMENT = "未分类", "未关联文档"
 
