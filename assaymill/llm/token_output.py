@@ -100,6 +100,9 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or an absolute path, and the path in it."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
     return pafs.FileSystem.from_uri(uri)
 
 
