@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html, jaccard, packing, pii, quality, substrings, token_output, toxicity
+from . import decontamination, embeddings, html, jaccard, oracles, packing, pii, quality, substrings, token_output, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,4 +70,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator and runs over whole tables; the others are tested against brute force."""
+    return dict(oracles.SQL)
