@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Chunks and words kept in a worker; beyond that the store starts anew.
-CHUNK_LIMIT, WORD_LIMIT = 700_000, 1_200_000
+CHUNK_LIMIT, WORD_LIMIT = 500_000, 600_000
 #: Words encoded in one call.
 AT_ONCE = 20_000
 VISIBLE = "!-~À-ɏ"
