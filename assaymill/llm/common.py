@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 #: Used only in local mode, where the driver and the tasks are one machine and no folder is named.
 LOCAL_DIR = "/tmp/checkpoints"
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Of Python workers, unless set already: large arrays go back to the system once they are freed.
+WORKER = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package where it isn't installed on them."""
+    """Let Python workers import this package where it isn't installed on them, and bound what they hold."""
     environment = spark.sparkContext.environment
+    for name, value in WORKER.items():
+        environment.setdefault(name, value)
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH, BATCH_BYTES)
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH", "")]))
 
