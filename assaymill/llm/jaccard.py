@@ -66,7 +66,7 @@ def slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def order_of(docs: DataFrame) -> Broadcast:
-    """A level for each slot: 0, or the logarithm of the estimated frequency of the shingles that fall there.
+    """A level for each slot: 0, or the logarithm of how many of the texts, by estimate, have shingles that fall there.
 
     A task reports the slots that stand out four times above its mean; the table has SLOTS entries at any size.
     """
@@ -75,9 +75,8 @@ def order_of(docs: DataFrame) -> Broadcast:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             for raw, at in pieces(b.column(1)):
-                small = lower(raw)
-                s, e = runs(IN_WORD[small], at)
-                u, n = np.unique(slot(row_hashes(span_hashes(small, s, e), WORDS)), return_counts=True)
+                each = [np.unique(slot(u)) for u in shingles(raw, at)]
+                u, n = np.unique(np.concatenate(each) if each else np.empty(0, np.int64), return_counts=True)
                 total[u] += n
         out = np.flatnonzero(total >= max(2, 4 * total.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(total[out])], names=["slot", "n"])
@@ -89,33 +88,51 @@ def order_of(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(level)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those that an equal set of a smaller id stands for; rows of one id aren't told apart."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [digest(u) for raw, at in pieces(b.column(1)) for u in shingles(raw, at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["id", "key"])
+
+    known = docs.where("id IS NOT NULL")
+    keys = stored(known.mapInArrow(go, "id long, key binary"), "digests")
+    many = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    copies = stored(keys.join(many, "key").where("id > least").select("id").distinct(), "copies")
+    return known.join(F.broadcast(copies) if copies.count() <= IDS_AT_ONCE else copies, "id", "left_anti")
+
+
+def digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def summaries(docs: DataFrame, order: Broadcast) -> DataFrame:
-    """(id, n, key, first, n_hot): size and digest of each set, its first shingles in the global order, and how
-    many of those are so frequent that their regions start in parts."""
+    """(id, n, key, first): size and digest of each set, and its first shingles in the global order."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value
         for b in batches:
-            sizes, keys, firsts, hot = [], [], [], []
+            sizes, keys, firsts = [], [], []
             for raw, at in pieces(b.column(1)):
                 for u in shingles(raw, at):
                     sizes.append(len(u))
-                    keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
+                    keys.append(digest(u))
                     own = level[slot(u)]
                     most = len(u) - -(-SHARE * len(u) // 100) + max(1, len(u) // SURE) if len(u) else 0
                     firsts.append((u[np.lexsort((u, own))] if own.any() else u)[:most])
-                    hot.append(int((level[slot(firsts[-1])] > HOT_LEVEL).sum()))
             ends = np.cumsum([0, *map(len, firsts)])
             flat = pa.array(np.concatenate(firsts).view(np.int64) if firsts else [], pa.int64())
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(hot, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "first", "n_hot"])
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "first"])
 
-    return docs.mapInArrow(go, "id long, n long, key binary, first array<long>, n_hot long")
+    return docs.mapInArrow(go, "id long, n long, key binary, first array<long>")
 
 
 def around_pivots(members: DataFrame) -> DataFrame:
     """(region, salt, id, pivot) of all but the pivots: the smallest id of each region is its pivot.
 
+    Parts (salt >= 0) keep a row of their pivot also, for it has yet to meet the region's other parts.
     Regions stream by in order, so a task holds a batch whatever the size of a region.
     """
 
@@ -129,7 +146,7 @@ def around_pivots(members: DataFrame) -> DataFrame:
             begin = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
             pivot = np.where(begin >= 0, ids[begin], last[2] if last else 0)
             last = region[-1], salt[-1], pivot[-1]
-            rest = np.flatnonzero(ids != pivot)
+            rest = np.flatnonzero((ids != pivot) | (salt >= 0))
             yield pa.RecordBatch.from_arrays([pa.array(x[rest]) for x in (region, salt, ids, pivot)], names=["region", "salt", "id", "pivot"])
 
     spark = members.sparkSession
@@ -260,24 +277,24 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """(doc_id, n_shingles, component_id) of every document."""
     ready(docs.sparkSession)
     texts = whole_text(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    order = order_of(texts)
+    order = order_of(one_of_each(texts))
     all_sets = stored(summaries(texts, order), "summaries")
     known = all_sets.where("n > 0 AND id IS NOT NULL")
-    classes = stored(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("n_hot").alias("n_hot"), F.first("first").alias("first")), "set-classes")
+    classes = stored(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "set-classes")
 
-    # a region of a frequent shingle starts in parts, which meet again when regions are joined
+    # a region of a frequent shingle starts in parts, which meet again when regions are joined; others have salt -1
     parts = [(i, 1 << min(int(v) - HOT_LEVEL, 20)) for i, v in enumerate(order.value) if v > HOT_LEVEL]
     salt = docs.sparkSession.createDataFrame(parts, "slot long, parts int")
     members = classes.select(F.explode("first").alias("region"), "id").withColumn("slot", F.shiftrightunsigned("region", 64 - SLOTS.bit_length() + 1))
-    members = members.join(F.broadcast(salt), "slot", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))  # SLOTS rows at most
-    near, alive = stored(around_pivots(members), "regions"), classes.select("id", "n", "n_hot")
+    members = members.join(F.broadcast(salt), "slot", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(-1)).cast("int"))  # SLOTS rows at most
+    near, alive = stored(around_pivots(members), "regions"), classes.select("id", "n")
     for _ in range(PRUNINGS):
-        # a class that shares too few of its first shingles with others links with nothing
+        # a class that shares too few of its first shingles with others links with nothing; in a part it may with another part
         pivots = near.select("region", "salt", F.col("pivot").alias("id")).distinct()
-        met = near.select("region", "salt", "id").unionByName(pivots)
+        met = near.where("id <> pivot").select("region", "salt", "id").unionByName(pivots)
         shared = met.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
         least = F.greatest(F.lit(1), F.floor(F.col("n") / (SURE * 5 // 4)))
-        alive = stored(alive.join(shared, "id").where(F.col("met") + F.col("n_hot") >= least).drop("met"), "alive")
+        alive = stored(alive.join(shared, "id").where(F.col("met") >= least).drop("met"), "alive")
         near = stored(around_pivots(met.join(alive.select("id"), "id", "left_semi")), "regions")
     sets = sets_of(texts, alive.select("id"))
     # shingles that no other set has can't be shared: what remains bounds the intersection with any set
@@ -286,7 +303,7 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     heads = stored(classes.select("id", "first").join(marks, "id"), "heads")
     near = stored(around_pivots(met.join(heads.select("id"), "id", "left_semi")), "regions")
 
-    candidates = stored(near.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n_shared")), "candidates")
+    candidates = stored(near.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n_shared")), "candidates")
     sure = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) / SURE))
 
     def fits(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -319,9 +336,8 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         found = stored(components(links), "components")
 
     verify(fits(candidates, "id", "pivot").select(*pair("id", "pivot")))
-    # pivots of parts of one region have not met yet
-    split = near.where("salt > 0").select("region").distinct()
-    inner = near.select("region", "id").unionByName(near.join(split, "region", "left_semi").select("region", F.col("pivot").alias("id"))).distinct()
+    # parts of one region have not met yet, so their pivots are in here as well
+    inner = near.select("region", "id").distinct()
     left = stored(open_regions(inner, found), "open-regions")
     # every member is compared with all of its largest region, its home
     home = left.groupBy("id").agg(F.max_by("region", F.struct("size", "region")).alias("home"))

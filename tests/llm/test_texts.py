@@ -236,3 +236,27 @@ def test_repeated_substrings_are_exact(spark, everything, monkeypatch, hot):
         kept = bytes(b for b, g in zip(t, gone[1:-1], strict=True) if not g)
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()), d
     assert substrings.remove_repeats(everything.limit(0)).count() == 0
+
+
+def edited(r, n, size=80):
+    """Texts that each differ from one text in one word of their own."""
+    ws = words(r, size, 10**6).split()
+    return [" ".join([*ws[:i], f"e{i}", *ws[i + 1 :]]) for i in range(5, 5 + n)]
+
+
+def test_jaccard_copies_and_few_edits(spark):
+    r = Random(5)
+    near = edited(r, 5)
+    texts = [words(r, 40, 10**6) for _ in range(20)] + near + [near[0]] * 3000
+    got = collected(jaccard.join_sets(docs(spark, texts)))
+    assert [got[i].component_id for i in range(len(texts))] == [*range(20), *[20] * 3005]
+
+
+def test_jaccard_lone_members_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    texts = [*edited(Random(6), 3), *edited(Random(7), 7), *edited(Random(8), 20), *corpus()]
+    s = sets(texts)
+    want = grouped(len(s), lambda i, j: bool(s[i]) and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]))
+    got = collected(jaccard.join_sets(docs(spark, texts)))
+    assert [got[i].component_id for i in range(len(s))] == want
