@@ -277,8 +277,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     listed = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha", short.alias("key")), "texts")
     classes = listed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
     copied = stored(classes.where("copies > 1"), "copied-texts")
-    copies = listed.join(copied, "key").where(F.col("doc_id") != F.col("first")).select("doc_id")
-    texts = among(rows.where(F.octet_length("text") >= SPAN), "doc_id", copies, "left_anti").select(short.alias("key"), "text")
+    # of equal texts one is enough; a mark that other rows have as well drops none
+    mark, copy = F.xxhash64("doc_id", "key").alias("mark"), F.col("copies").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))
+    copies = listed.join(copied, "key", "left").select(mark, copy.alias("copy")).groupBy("mark").agg(F.bool_and("copy").alias("copy")).where("copy")
+    keyed = rows.select("doc_id", short.alias("key"), "text")
+    texts = among(keyed.where(F.octet_length("text") >= SPAN).select("key", "text", mark), "mark", stored(copies.select("mark"), "copies"), "left_anti").select("key", "text")
 
     found = occurrences(texts, filter_of(stored(anchors(texts), "anchors")))
     digests = stored(found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")), "digests")
@@ -309,8 +312,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = list(zip(*made, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["key", "removed", "runs", "kept"])
 
-    touched = listed.join(spans.select("key"), "key", "left_semi").select("doc_id")
-    some = among(rows, "doc_id", touched, "left_semi").select(short.alias("key"), "text").join(spans, "key")
+    touched = F.xxhash64("key").alias("mark")  # what else has the mark of such a text goes with the join on keys
+    some = among(keyed.select("key", "text", touched), "mark", spans.select(touched), "left_semi").join(spans, "key")
     stripped = some.select("key", "text", "starts").mapInArrow(strip, "key binary, removed long, runs long, kept string").dropDuplicates(["key"])
     out = listed.join(copied.select("key", "copies"), "key", "left").join(stripped, "key", "left")
     gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= SPAN)

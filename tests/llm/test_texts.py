@@ -260,3 +260,15 @@ def test_jaccard_lone_members_of_parts(spark, monkeypatch):
     want = grouped(len(s), lambda i, j: bool(s[i]) and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]))
     got = collected(jaccard.join_sets(docs(spark, texts)))
     assert [got[i].component_id for i in range(len(s))] == want
+
+
+def test_repeated_substrings_without_or_with_shared_keys(spark):
+    r = Random(9)
+    line = "p" + "".join(r.choices("abcdefgh ", k=210))
+    texts = [(None, "first " * 3 + "/" + line + "?"), (1, "one-" + line + "!"), (4, words(r, 70)), (4, "again+" + line + ".")]
+    texts += [(2, texts[2][1]), (None, "only here " * 2 + words(r, 60))]
+    got = substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    whole = texts[2][1]
+    want = [(k, len(t), *((len(t), "") if t == whole else (len(line), t.replace(line, "")) if line in t else (0, t))) for k, t in texts]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.kept_sha256) for x in got) == sorted((str(k), n, m, sha(t)) for k, n, m, t in want)
