@@ -14,7 +14,8 @@ and tell too little apart here (see README); set sizes, common parts and shared
 
 Only ``order_of`` estimates anything: shingle frequencies, which decide the order and never a result.
 Null and wordless texts have an empty set and link with nothing; texts of fewer than five words are one
-shingle; null keys link with nothing; repeated rows are one class; other columns are not read.
+shingle; null keys link with nothing; repeated rows are one class, texts of one key are classes of their own;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def digest(hashes: np.ndarray) -> bytes:
 
 
 def summaries(docs: DataFrame, order: Broadcast) -> DataFrame:
-    """(id, n, key, first): size and digest of each set, and its first shingles in the global order."""
+    """(id, mark, n, key, first): size and digest of each set, and its first shingles in the global order."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value
@@ -123,10 +124,10 @@ def summaries(docs: DataFrame, order: Broadcast) -> DataFrame:
                     firsts.append((u[np.lexsort((u, own))] if own.any() else u)[:most])
             ends = np.cumsum([0, *map(len, firsts)])
             flat = pa.array(np.concatenate(firsts).view(np.int64) if firsts else [], pa.int64())
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "first"])
+            columns = [b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "key", "first"])
 
-    return docs.mapInArrow(go, "id long, n long, key binary, first array<long>")
+    return docs.mapInArrow(go, "id long, mark long, n long, key binary, first array<long>")
 
 
 def around_pivots(members: DataFrame) -> DataFrame:
@@ -153,16 +154,21 @@ def around_pivots(members: DataFrame) -> DataFrame:
     return members.select("region", "salt", "id").repartition(spread(spark), "region", "salt").sortWithinPartitions("region", "salt", "id").mapInArrow(go, "region long, salt int, id long, pivot long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, hashes) of the named documents; a bounded list of ids is broadcast, a longer one joined."""
-    named = F.broadcast(ids) if ids.count() <= IDS_AT_ONCE else ids
+def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, hashes) of classes (class, doc, key), each read from that text of its document whose set has its digest.
+
+    A bounded list of classes is broadcast, a longer one joined.
+    """
+    named = F.broadcast(classes) if classes.count() <= IDS_AT_ONCE // 2 else classes
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [u.tobytes() for raw, at in pieces(b.column(1)) for u in shingles(raw, at)]
+            own = (u for raw, at in pieces(b.column(1)) for u in shingles(raw, at))
+            made = [u.tobytes() if digest(u) == key else None for u, key in zip(own, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["id", "hashes"])
 
-    made = stored(docs.join(named, "id", "left_semi").mapInArrow(go, "id long, hashes binary"), "shingle-sets")
+    read = docs.join(named, F.col("id") == F.col("doc")).select("class", "text", "key")
+    made = stored(read.mapInArrow(go, "id long, hashes binary").where("hashes IS NOT NULL"), "shingle-sets")
     return made if made.count() == made.select("id").distinct().count() else made.dropDuplicates(["id"])
 
 
@@ -273,14 +279,26 @@ def open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
     return of.join(kept, "region")
 
 
+def mark_of(text: str) -> Column:
+    """Tells the texts of one key apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    return joined(docs, key, text).drop("mark")
+
+
+def joined(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) of every document."""
     ready(docs.sparkSession)
-    texts = whole_text(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = whole_text(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark_of(text).alias("mark"))
     order = order_of(one_of_each(texts))
     all_sets = stored(summaries(texts, order), "summaries")
     known = all_sets.where("n > 0 AND id IS NOT NULL")
-    classes = stored(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "set-classes")
+    # classes have numbers of their own, for one id can have several texts
+    classes = known.groupBy("key").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("first").alias("first"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "set-classes")
 
     # a region of a frequent shingle starts in parts, which meet again when regions are joined; others have salt -1
     parts = [(i, 1 << min(int(v) - HOT_LEVEL, 20)) for i, v in enumerate(order.value) if v > HOT_LEVEL]
@@ -296,7 +314,7 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         least = F.greatest(F.lit(1), F.floor(F.col("n") / (SURE * 5 // 4)))
         alive = stored(alive.join(shared, "id").where(F.col("met") >= least).drop("met"), "alive")
         near = stored(around_pivots(met.join(alive.select("id"), "id", "left_semi")), "regions")
-    sets = sets_of(texts, alive.select("id"))
+    sets = sets_of(texts, classes.join(alive.select("id"), "id", "left_semi").select(F.col("id").alias("class"), "doc", "key"))
     # shingles that no other set has can't be shared: what remains bounds the intersection with any set
     rest = alive.select("id", "n").join(common_counts(sets), "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
     marks = rest.where(F.col("c") * 100 >= F.col("n") * SHARE).select("id", "n", "c")
@@ -357,15 +375,17 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     pairs = left.join(other, (F.col("region") == F.col("region_b")) & differ & unmet & may_link("n", "c", "n_b", "c_b")).select("id", "id_b").distinct()
     verify(fits(pairs, "id", "id_b").select(*pair("id", "id_b")))
 
-    ids = classes.select("key", F.col("id").alias("class"))
-    out = all_sets.select("id", "n", "key").join(ids, "key", "left").join(found.withColumnRenamed("id", "class"), "class", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id")).alias("component_id"))
+    of = classes.select("id", "key", "doc").join(found, "id", "left").select("key", "doc", F.coalesce("component", "id").alias("component"))
+    of = of.join(of.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("key", "component_id")
+    out = all_sets.select("id", "mark", "n", "key").join(of, "key", "left")
+    return out.select(F.col("id").alias("doc_id"), "mark", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that stand for their component: of each group the smallest key.
 
-    Rows without a key stay; of repeated rows of a kept key all stay.
+    Rows without a key stay; of repeated rows of a kept key all stay, and other texts of that key go by their own component.
     """
-    gone = join_sets(docs, key, text).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    gone = joined(docs, key, text).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_key"), F.col("mark").alias("gone_mark")).distinct()
+    same = (docs[key].cast("long") == gone["gone_key"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == gone["gone_mark"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)

@@ -272,3 +272,12 @@ def test_repeated_substrings_without_or_with_shared_keys(spark):
     want = [(k, len(t), *((len(t), "") if t == whole else (len(line), t.replace(line, "")) if line in t else (0, t))) for k, t in texts]
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.kept_sha256) for x in got) == sorted((str(k), n, m, sha(t)) for k, n, m, t in want)
+
+
+def test_jaccard_one_key_with_two_texts(spark):
+    a, b = ([*edited(Random(i), 2, n)] for i, n in ((20, 80), (21, 120)))
+    rows = [(5, a[0]), (5, b[0]), (7, a[1]), (3, b[1]), (9, "something else that is alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_sets(df).collect())
+    assert got == [(3, 116, 3), (5, 76, 5), (5, 116, 3), (7, 76, 5), (9, 2, 9)]
+    assert sorted(tuple(r) for r in jaccard.keep_one(df).collect()) == sorted([rows[0], rows[3], rows[4]])
