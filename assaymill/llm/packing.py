@@ -97,13 +97,13 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, size: int, key: str = "doc_
         coder, part, seen = encoder(vocab), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, raw in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
-                    raw += end
-                    for i, (s, n) in enumerate(pieces_of(len(raw) // 4, size)):
-                        rows.append((doc, i, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)]), part, seen[n]))
+            rows, keys = [], iter(batch.column(0).to_pylist())
+            for ids, bounds in coder.encode(batch.column(1)):
+                raw = ids.tobytes()
+                for doc, b, e in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist(), strict=False):
+                    for i, (s, n) in enumerate(pieces_of(e - b + 1, size)):
+                        crc = zlib.crc32(raw[4 * (b + s) : 4 * min(b + s + n, e)])
+                        rows.append((doc, i, s, n, crc if b + s + n <= e else zlib.crc32(end, crc), part, seen[n]))
                         seen[n] += 1
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             columns = list(zip(*rows, strict=True)) or [()] * 7

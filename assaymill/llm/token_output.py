@@ -26,7 +26,7 @@ from .tokens import encoder, vocabulary
 
 MAGIC, HEADER = b"EFTOK001", "<8sQQQQQQ"
 SAMPLE = 256
-#: Ids and documents after which a task starts a new file.
+#: Ids and documents after which a task starts a new file; the texts that are encoded together may exceed them.
 IDS_A_FILE, DOCS_A_FILE = 4_000_000, 200_000
 
 
@@ -116,31 +116,31 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, key: str =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, (store, root), part = encoder(vocab), open_store(path), TaskContext.get().partitionId()
-        end, made = np.array([end_id], "<u4").tobytes(), []
-        keys, ids, total = [], [], 0
+        keys, ids, ends, total, made = [], [], [], 0, []
 
         def flush() -> None:
-            nonlocal keys, ids, total
+            nonlocal keys, ids, ends, total
             if keys:
                 name = f"{root}/ids-{part:06d}-{len(made):06d}.ef"
-                bounds = np.cumsum([len(x) // 4 for x in ids])
-                raw = pack_file(keys, bounds, np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}"))
+                raw = pack_file(keys, np.concatenate(ends), np.concatenate(ids))
                 store.create_dir(root, recursive=True)
                 with store.open_output_stream(own := f"{name}.{uuid.uuid4().hex}") as out:
                     out.write(raw)
                 store.move(own, name)
                 made.append((part, len(made), f"{path}/{name.rsplit('/', 1)[1]}", len(keys), total))
-                keys, ids, total = [], [], 0
+                keys, ids, ends, total = [], [], [], 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for k, raw in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    ids.append(raw + end)
-                    total += len(raw) // 4 + 1
-                    if total >= IDS_A_FILE or len(keys) >= DOCS_A_FILE:
-                        flush()
+            names = batch.column(0).to_pylist()
+            for some, bounds in coder.encode(batch.column(1)):
+                n = len(bounds) - 1
+                keys += names[:n]
+                names = names[n:]
+                ids.append(np.insert(some, bounds[1:], end_id).astype(f"<u{width}"))
+                ends.append(total + bounds[1:] + np.arange(1, n + 1))
+                total += len(ids[-1])
+                if total >= IDS_A_FILE or len(keys) >= DOCS_A_FILE:
+                    flush()
         flush()
         yield pa.RecordBatch.from_pylist(
             [dict(zip(("part", "file", "path", "n_docs", "n_ids"), x, strict=True)) for x in made],

@@ -2,86 +2,148 @@
 
 A byte-level BPE merges inside the pieces that its pattern splits off, and that pattern always
 splits before a space and around a line feed that stand between two visible characters, and where
-a run of letters, digits or other signs ends (but for apostrophes). So the ids of a text are the
-ids of its pieces, joined, and a piece seen before needs no second encoding. Only ASCII and Latin
-letters are split so inside a chunk; a chunk that holds others is encoded as it is, and texts with
-blanks in a row or at an end, or with rarer white space, are split only between such characters.
+a run of letters, digits or other signs ends (but after an apostrophe, and where a sign meets one).
+So a batch of texts is cut at those places as one array of bytes, equal units are found by Arrow,
+and only units that a worker hasn't met are encoded. Only ASCII and Latin letters are split so; other
+characters, blanks in a row or at an end and rarer white space stay inside a unit, which the library
+then splits itself. Texts with a special token's string, and vocabularies that split by another
+pattern, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Chunks and words kept in a worker; beyond that the store starts anew.
-CHUNK_LIMIT, WORD_LIMIT = 500_000, 600_000
-#: Words encoded in one call.
-AT_ONCE = 20_000
-VISIBLE = "!-~À-ɏ"
-#: White space but space and line feed, by any library's table, and the mark that chunks are split at.
-ODD = re.compile("[\0\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-TWO_BLANKS = ("  ", " \n", "\n ", "\n\n")
-EDGE = re.compile(rf"(?<=[{VISIBLE}])(?=[ \n][{VISIBLE}])|(?<=[{VISIBLE}]\n)(?=[{VISIBLE}])")
-#: A chunk that can be split into words: a leading space or none, then visible characters, no apostrophe.
-PLAIN = re.compile(r" ?[!-&(-~À-ɏ]+\Z")
-WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~×÷]+")
+import pyarrow as pa
+
+from .bytewise import joined
+
+#: Units kept in a worker, beyond which the store starts anew, and the longest one that is kept.
+UNIT_LIMIT, UNIT_BYTES = 800_000, 200
+#: Bytes of texts that are cut together, and units that are joined together.
+TEXT_BYTES, UNITS_AT_ONCE = 4_000_000, 1_000_000
+OTHER, LETTER, DIGIT, SIGN, APOSTROPHE, SPACE, FEED = range(7)
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127] = SIGN
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[48:58] = DIGIT
+KINDS[[39, 32, 10]] = APOSTROPHE, SPACE, FEED
+#: Whether the pattern always splits between two kinds: [first, second].
+ENDS = np.zeros((8, 8), bool)
+ENDS[LETTER, [DIGIT, SIGN, APOSTROPHE]] = ENDS[DIGIT, [LETTER, SIGN, APOSTROPHE]] = ENDS[SIGN, [LETTER, DIGIT]] = True
+ENDS = ENDS.ravel()
+#: A unit that is one piece of the pattern: a leading space or none, then letters, digits or signs.
+PIECE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~×÷]+)")
+PATTERN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def alphabet() -> dict[int, int]:
+    """The visible character that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places where units begin: at each text that isn't empty and where the pattern always splits."""
+    kind = KINDS[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))  # of two-byte characters up to U+027F
+    first, second = raw[lead], raw[lead + 1]
+    latin = np.where((first == 0xC3) & ((second == 0x97) | (second == 0xB7)), SIGN, LETTER)  # × and ÷
+    latin[(first == 0xC9) & (second > 0x8F)] = OTHER
+    kind[lead] = kind[lead + 1] = latin
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[1:-1] = ENDS[kind[:-1] << 3 | kind[1:]]
+    blank = np.flatnonzero(kind >= SPACE)
+    blank = blank[(blank > 0) & (blank < len(raw) - 1)]
+    last = np.zeros(len(raw), bool)
+    last[at[1:][np.diff(at) > 0] - 1] = True
+    seen = lambda p: (kind[p] >= LETTER) & (kind[p] <= APOSTROPHE)
+    blank = blank[seen(blank - 1) & seen(blank + 1) & ~last[blank]]
+    begins[blank] = True
+    begins[blank[kind[blank] == FEED] + 1] = True
+    begins[at] = True
+    return np.flatnonzero(begins[:-1])
+
+
+def slices(values: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    _, offsets, data = values.buffers()
+    at, whole = np.frombuffer(offsets, np.int32, len(values) + 1, 4 * values.offset).tolist(), data.to_pybytes()
+    return [whole[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; special tokens' strings are ordinary text."""
+    """Ids of texts as one call of the library for each text would give them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        pattern = spec["pre_tokenizer"] or {}
+        self.cuttable = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and all(pattern.get(k) == v for k, v in PATTERN.items())
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.shown = alphabet()
+        self.blank = chr(self.shown[32])
+        self.units: dict[bytes, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        """Encode new chunks: by words where they can be split, else whole."""
-        if len(self.words) > WORD_LIMIT:
-            self.words.clear()
-        split = {c: WORD.findall(c) for c in new if PLAIN.match(c)}
-        unseen = list({w for ws in split.values() for w in ws if w not in self.words})
-        for i in range(0, len(unseen), AT_ONCE):
-            some = unseen[i : i + AT_ONCE]
-            # words hold no line feed, so its id stands between them and nowhere else
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(some, ends, strict=True):
-                self.words[w] = raw[4 * at : 4 * e]
-                at = e + 1
-        for c in new:
-            self.chunks[c] = b"".join([self.words[w] for w in split[c]]) if c in split else self.plain(c)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            odd = text[0] in " \n" or text[-1] in " \n" or any(x in text for x in TWO_BLANKS) or ODD.search(text)
-            parts = EDGE.split(text) if odd else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            ids = [*map(self.chunks.get, parts)]
-            if None in ids:
-                new = {p for p, i in zip(parts, ids, strict=True) if i is None}
-                if len(self.chunks) + len(new) > CHUNK_LIMIT:
-                    self.chunks.clear()
-                    new = set(parts)
-                self.learn(new)
-                ids = [*map(self.chunks.__getitem__, parts)]
-            out.append(b"".join(ids))
-        return out
+    def learn(self, unit: bytes) -> bytes:
+        text = unit.decode()
+        if PIECE.fullmatch(text):  # the library's own pattern leaves it whole, so its model can have it at once
+            shown = text.replace(" ", self.blank) if text.isascii() else unit.decode("latin-1").translate(self.shown)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            made = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            made = self.plain(text)
+        if len(unit) <= UNIT_BYTES:
+            self.units[unit] = made
+        return made
+
+    def _texts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds of the texts in them)."""
+        whole = raw.tobytes()
+        if not self.cuttable or any(s in whole for s in self.special):
+            made = [self.plain(whole[i:j].decode()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return np.frombuffer(b"".join(made), "<u4"), np.cumsum([0, *map(len, made)]) // 4
+        begins = cuts(raw, at)
+        edges, ids, sizes = np.append(begins, len(raw)), [], []
+        for i in range(0, len(begins), UNITS_AT_ONCE):
+            some = edges[i : i + UNITS_AT_ONCE + 1]
+            data = pa.py_buffer(whole[some[0] : some[-1]])
+            units = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer((some - some[0]).astype(np.int32)), data]).dictionary_encode()
+            known = slices(units.dictionary)
+            if len(self.units) + len(known) > UNIT_LIMIT:
+                self.units.clear()
+            made = [*map(self.units.get, known)]
+            if None in made:
+                made = [self.learn(u) if m is None else m for u, m in zip(known, made, strict=True)]
+            pool, size = np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4
+            code = units.indices.to_numpy()
+            first, n = (np.cumsum(size) - size)[code], size[code]
+            ids.append(pool[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            sizes.append(n)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        return np.concatenate(ids) if ids else np.empty(0, "<u4"), total[np.searchsorted(begins, at)]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some texts of a string column after others, with the bounds of each text in them; null texts are empty."""
+        raw, at = joined(column)
+        i = 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + TEXT_BYTES, "right")) - 1)
+            yield self._texts(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+            i = j
 
 
 _encoders: dict[str, Encoder] = {}

@@ -6,7 +6,9 @@ import zlib
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from assaymill.llm import decontamination, jaccard, packing, pii, substrings, token_output, tokens
 
@@ -81,16 +83,38 @@ def test_redaction_keeps_columns_and_clean_texts(spark):
     assert rows[1].text is None and rows[2].text == "clean"
 
 
-def test_encoder_equals_library():
+def library():
+    return Tokenizer.from_file(tokens.vocabulary())
+
+
+def encoded(e, texts):
+    return [ids[i:j].tolist() for ids, at in e.encode(pa.array(texts, pa.string())) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_encoder_equals_library(monkeypatch):
+    odd = ["a  b\n\n c\t d 12 it's 's x½y", "<|endoftext|> a\n b", "a <|endoftext|>b", " lead", "trail \n", "x　y 漢字", "\n", " ", "a×b÷c'd 'll x''s !'s 's5", "\0 \0a b", "Ünïcode—dash a1b2 ɏɐʰ"]
+    texts, lib = [*corpus(), *odd], library()
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
     e = tokens.Encoder(tokens.vocabulary())
-    odd = ["a  b\n\n c\t d 12 it's 's x½y", "<|endoftext|> a\n b", " lead", "trail \n", "x　y 漢字", "\n", " ", "a×b÷c'd 'll x''s", "\0 \0a b", "Ünïcode—dash a1b2"]
-    for t in [*[t for t in corpus() if t], *odd]:
-        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert encoded(e, texts) == want
+    assert encoded(e, [t for t in texts if not t or "endoftext" not in t]) == [w for t, w in zip(texts, want, strict=True) if not t or "endoftext" not in t]
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 50)
+    monkeypatch.setattr(tokens, "UNITS_AT_ONCE", 7)
+    monkeypatch.setattr(tokens, "UNIT_LIMIT", 30)
+    assert encoded(tokens.Encoder(tokens.vocabulary()), texts) == want
+
+
+def test_encoder_on_random_texts():
+    r, lib, e = Random(4), library(), tokens.Encoder(tokens.vocabulary())
+    parts = ["a", "B", "é", "×", "÷", "'", "'s", "'ll", "'t", " ", "  ", "\n", "\t", "12", "3", ".", "!!", "ɐ", "ɏ", "ʰ", "漢", "\U0001f600", "\0", "\x7f", "\x85", "\xa0", "ü", "word", "’", "½", "²", "Ⅷ", "\r"]
+    texts = ["".join(r.choices(parts, k=r.randrange(14))) for _ in range(20_000)]
+    assert encoded(e, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files_round_trip(spark, everything, monkeypatch):
     monkeypatch.setattr(token_output, "IDS_A_FILE", 500)
-    lib = tokens.Encoder(tokens.vocabulary()).tokenizer
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 2000)
+    lib = library()
     got, at = collected(token_output.tokenized(everything)), 0
     for i, t in enumerate(corpus()):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
@@ -110,7 +134,7 @@ def test_elias_fano():
 
 
 def test_packing_is_whole_and_tight(spark, everything):
-    lib = tokens.Encoder(tokens.vocabulary()).tokenizer
+    lib = library()
     rows = packing.pack(everything).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
