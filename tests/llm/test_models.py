@@ -70,7 +70,22 @@ def test_html_edges(spark):
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (2, 3))
 
 
-def test_embeddings_against_brute_force(spark):
+def linked_pairs(ids, vectors, labels, threshold=0.93):
+    """All pairs of rows that link, by their places."""
+    ok = [x is not None and len(x) > 0 and None not in x and np.isfinite(x).all() and np.any(x) and y is not None and i is not None for i, x, y in zip(ids, vectors, labels, strict=True)]
+    for i in range(len(ids)):
+        for j in range(i):
+            if ok[i] and ok[j] and labels[i] == labels[j] and len(vectors[i]) == len(vectors[j]):
+                a, b = np.array(vectors[i]), np.array(vectors[j])
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= threshold:
+                    yield i, j
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_embeddings_against_brute_force(spark, monkeypatch, small):
+    if small:  # many parts, blocks and groups of pairs
+        for name, value in (("PART_BYTES", 16 * 20), ("PART_LEAST", 4), ("BLOCK", 3), ("COLUMNS", 5), ("PAIRS_AT_ONCE", 2), ("CENTRES", 3)):
+            monkeypatch.setattr(embeddings, name, value)
     r = np.random.default_rng(5)
     base = r.normal(size=(12, 16))
     v = np.concatenate([base[r.integers(0, 12, 150)] + r.normal(size=(150, 16)) * r.choice([0.02, 0.2, 1], (150, 1)), base[:3].repeat(4, 0)])
@@ -78,22 +93,33 @@ def test_embeddings_against_brute_force(spark):
     labels = [int(i % 3) for i in range(len(vectors))]
     labels[5] = None
     labels[-1] = labels[-2]
-    df = spark.createDataFrame([(i, x, y, "z") for i, (x, y) in enumerate(zip(vectors, labels, strict=True))], "vec_id long, embedding array<double>, label int, id string")
+    ids = list(range(len(vectors)))
+    df = spark.createDataFrame([(i, x, y, "z") for i, x, y in zip(ids, vectors, labels, strict=True)], "vec_id long, embedding array<double>, label int, id string")
     n, links, comp = len(vectors), {}, list(range(len(vectors)))
-    ok = [x is not None and len(x) > 0 and None not in x and np.isfinite(x).all() and np.any(x) and y is not None for x, y in zip(vectors, labels, strict=True)]
-    for i in range(n):
-        for j in range(i):
-            if ok[i] and ok[j] and labels[i] == labels[j] and len(vectors[i]) == len(vectors[j]):
-                a, b = np.array(vectors[i]), np.array(vectors[j])
-                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
-                    links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
-                    lo, hi = sorted((comp[i], comp[j]))
-                    comp = [lo if c == hi else c for c in comp]
+    for i, j in linked_pairs(ids, vectors, labels):
+        links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
+        lo, hi = sorted((comp[i], comp[j]))
+        comp = [lo if c == hi else c for c in comp]
     got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(n)] == [(links.get(i, 0), comp[i], comp[i] == i) for i in range(n)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.99, 0.1], 0), (1, [1.0, 0.0], 0), (2, [0.98, 0.1], 0), (None, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [0.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicates(df).collect())
+    assert got == sorted([("1", 3, "1")] * 3 + [("2", 3, "1"), ("None", 0, "None"), ("3", 0, "3"), ("4", 0, "4")])
+
+
+def test_cover_trees_save_work_on_clusters():
+    r = np.random.default_rng(1)
+    points = embeddings.unit(r.normal(size=(40, 32))[r.integers(0, 40, 4000)] + r.normal(size=(4000, 32)) * 0.01)
+    tree, ones = embeddings.CoverTree(points), np.ones(4000, np.int64)
+    pair = embeddings.Pair(tree, tree, ones, ones, 0.93)
+    assert pair.tests < 0.2 * 4000**2 and (pair.counts[0] == (tree.points @ tree.points.T >= 0.93).sum(1) - 1).all()
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
