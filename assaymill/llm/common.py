@@ -56,6 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is sent to all tasks at most.
+ROWS_AT_ONCE = 500_000
+
+
+def small_or_joined(table: DataFrame) -> DataFrame:
+    """A written table to join with: broadcast where it is small, else left to a shuffled join, which splits hot keys."""
+    return F.broadcast(table) if table.count() <= ROWS_AT_ONCE else table
+
+
 def spread(spark: SparkSession) -> int:
     """The number of partitions for a shuffle whose count must be given."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

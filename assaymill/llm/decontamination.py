@@ -2,37 +2,37 @@
 
 A window is WINDOW consecutive words of an item (an item of fewer words is one window) and the set
 of its shingles. Shingles are ordered by how often the whole corpus holds them. As a hit needs all
-of a window, its necessary prefix is its rarest shingle: only documents that hold that one are
-candidates, at the one place where the window would have to stand; places that the document's length
-or the shingle's position rule out are dropped, and the rest are compared word by word.
-
-Items go to the tasks in blocks of bounded size, so neither the driver nor a task ever holds a large
-benchmark whole. Null texts have no words and items with a null id or text are ignored; repeated items
-are one; repeated documents each get their own row; empty tables give no rows or no hits; only keys
-and texts are read.
+of a window, its necessary prefix is its rarest shingle: documents and windows are joined on that one,
+at the one place where the window would have to stand; places that the document's length or the
+shingle's position rule out are dropped, and the rest are compared word by word, with the words around
+the place.
+
+Windows and places are tables: of the benchmark, tasks hold only bit tables of bounded size that
+tell which shingles are worth a row, so it may be of any size. Texts are told apart by their digest,
+and equal texts are compared once. Null texts have no words and items with a null id or text are ignored;
+repeated items are one; repeated documents each get their own row; empty tables give no rows or no hits;
+only keys and texts are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewise import lower, row_hashes, runs, span_hashes
-from .common import ready, whole_text
+from .bytewise import joined, lower, row_hashes, runs, span_hashes
+from .common import ready, small_or_joined, stored, whole_text
+from .filters import Filter, filter_of
 from .quality import pieces
 
 WINDOW, SHINGLE = 10, 5
-#: Items that are sent to the tasks together.
-ITEMS_A_BLOCK = 5_000
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+PLACE = "doc_id long, key binary, n_words long, hash long, place long, first long, around string"
 
 
 def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,176 +42,148 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return small, s, e, np.searchsorted(s, at)
 
 
-class Block:
-    """Windows of some items; ``prefix`` is set once the shingles are counted."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            small, s, e, _ = words_of(raw, np.array([0, len(raw)]))
-            whole = small.tobytes()
-            words = [whole[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-            for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + WINDOW]), set()).add(item)
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-        vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.windows for w in ws}))}
-        joined = b"".join(vocabulary)
-        ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64)
-        raw = np.frombuffer(joined, np.uint8)
-        hashes = span_hashes(raw, np.concatenate([[0], ends[:-1]]), ends) if vocabulary else np.empty(0, np.uint64)
-        #: by shingle length: (window, offset in it, hash)
-        self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in range(1, SHINGLE + 1):
-            v, o, h = [], [], []
-            for i, ws in enumerate(self.windows):
-                if min(SHINGLE, len(ws)) == k:
-                    own = row_hashes(hashes[[vocabulary[w] for w in ws]], k)
-                    v += [i] * len(own)
-                    o += range(len(own))
-                    h.append(own)
-            if v:
-                self.shingles[k] = np.array(v), np.array(o), np.concatenate(h)
-        self.keys = {k: np.unique(h) for k, (_, _, h) in self.shingles.items()}
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Keep of each window its rarest shingle; ties go to the smaller hash."""
-        self.prefix = {}
-        for k, (v, o, h) in self.shingles.items():
-            n = counts[k][np.searchsorted(self.keys[k], h)]
-            order = np.lexsort((h, n, v))
-            first = order[np.concatenate([[True], v[order][1:] != v[order][:-1]])]
-            by_hash = first[np.argsort(h[first], kind="stable")]
-            self.prefix[k] = h[by_hash], v[by_hash], o[by_hash]
-        self.shingles, self.keys = {}, {}
-
-
-def seen(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of ``hashes`` that are among the sorted ``keys``; a table of bits sorts out most at once."""
-    bits = np.zeros(1 << 20, bool)
-    bits[keys >> np.uint64(44)] = True
-    maybe = np.flatnonzero(bits[hashes >> np.uint64(44)])
-    at = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
-    return maybe[keys[at] == hashes[maybe]]
-
-
-def inside(k: int, first: np.ndarray, n: int) -> np.ndarray:
-    """Whether the shingle that starts at each word ends in the same text."""
-    ends = np.repeat(first[1:], np.diff(first))[:n]
-    return np.arange(n) + k <= ends
-
-
-def index_of(docs: DataFrame, items: DataFrame, item: str, text: str) -> list[Broadcast]:
-    """The benchmark as broadcast blocks of at most about ITEMS_A_BLOCK items, each with its prefix."""
-    spark = docs.sparkSession
-    known = items.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).dropna().distinct()
-    n = max(1, -(-known.count() // ITEMS_A_BLOCK))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    made = []
-    for b in range(n):  # one block at a time on the driver
-        rows = known.where(block == b).collect()
-        made.append(spark.sparkContext.broadcast(Block(sorted((r.item, r.text) for r in rows))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {(b, k): np.zeros(len(keys), np.int64) for b, x in enumerate(made) for k, keys in x.value.keys.items()}
-        for batch in batches:
-            for raw, at in pieces(batch.column(1)):
+def batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def windows_of(items: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, window, size): the words of each window, joined by spaces."""
+    schema = "item string, window string, size int"
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = iter(b.column(0).to_pylist())
+            for raw, at in pieces(b.column(1)):
                 small, s, e, first = words_of(raw, at)
-                hashes = span_hashes(small, s, e)
-                for k in {k for _, k in total}:
-                    own = row_hashes(hashes, k)
-                    own = own[inside(k, first, len(own))]
-                    for b, x in enumerate(made):
-                        if (b, k) in total:
-                            keys = x.value.keys[k]
-                            hit = own[seen(own, keys)]
-                            total[b, k] += np.bincount(np.searchsorted(keys, hit), minlength=len(keys))
-        rows = [(b, k, int(i), int(v[i])) for (b, k), v in total.items() for i in np.flatnonzero(v)]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "k", "i", "n"])
-
-    counted = whole_text(docs, "doc_id", "text").mapInArrow(count, "block long, k long, i long, n long").groupBy("block", "k", "i").agg(F.sum("n").alias("n"))
-    counted = counted.persist() if n > 1 else counted
-    for b in range(n):
-        x = made[b].value
-        counts = {k: np.zeros(len(keys), np.int64) for k, keys in x.keys.items()}
-        for r in counted.where(F.col("block") == b).collect():  # a number for each shingle of the block
-            counts[r.k][r.i] = r.n
-        x.choose(counts)
-        made[b].unpersist()
-        made[b] = spark.sparkContext.broadcast(x)
-    counted.unpersist()
-    return made
-
-
-def hits(block: Block, small: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, window) of every occurrence of a window of the block in the texts."""
-    places, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    doc_first = np.repeat(first[:-1], np.diff(first))
-    doc_end = np.repeat(first[1:], np.diff(first))
-    for k, (keys, window, offset) in block.prefix.items():
-        own = row_hashes(hashes, k)
-        if not len(own):
-            continue
-        p = seen(own, keys)
-        p = p[p + k <= doc_end[p]]
-        lo, hi = np.searchsorted(keys, own[p], "left"), np.searchsorted(keys, own[p], "right")
-        n = hi - lo
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
-        p, v = np.repeat(p, n), window[entry]
-        start = p - offset[entry]
-        fits = (start >= doc_first[p]) & (start + block.size[v] <= doc_end[p])
-        places.append(start[fits])
-        windows.append(v[fits])
-    place, window = np.concatenate(places), np.concatenate(windows)
-    whole, (ss, ee) = small.tobytes() if len(place) else b"", (s, e)
-    same = [all(whole[ss[p + j] : ee[p + j]] == w for j, w in enumerate(block.windows[v])) for p, v in zip(place.tolist(), window.tolist(), strict=True)]
-    return place[same], window[same]
+                whole, rows = small.tobytes(), []
+                for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    name, words = next(names), [whole[x:y].decode() for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)]
+                    rows += {(name, " ".join(words[k : k + WINDOW]), min(WINDOW, len(words))) for k in range(max(1, len(words) - WINDOW + 1) if words else 0)}
+                yield batch(schema, *(zip(*rows, strict=True) if rows else ([], [], [])))
+
+    known = items.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).dropna().distinct()
+    return stored(known.mapInArrow(go, schema).distinct(), "windows")
+
+
+def shingles_of(windows: DataFrame) -> DataFrame:
+    """(window, size, hash, place): the shingles of each window and where they stand in it."""
+    schema = "window string, size int, hash long, place int"
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = joined(b.column(0))
+            small, s, e, first = words_of(raw, at)
+            hashes, n = span_hashes(small, s, e), np.diff(first)
+            owner = np.repeat(np.arange(len(n)), n)
+            for k in range(1, SHINGLE + 1):
+                own = row_hashes(hashes, k)
+                p = np.flatnonzero((np.minimum(n, SHINGLE)[owner[: len(own)]] == k) & (np.arange(len(own)) + k <= first[1:][owner[: len(own)]]))
+                yield batch(schema, b.column(0).take(pa.array(owner[p])), n[owner[p]], own[p].view(np.int64), p - first[owner[p]])
+
+    return stored(windows.select("window").distinct().mapInArrow(go, schema), "window-shingles")
+
+
+def places(column: pa.Array, known: Filter, sizes: list[int]) -> Iterator[tuple]:
+    """By stretch of texts: what ``words_of`` gives, and by shingle size the words at which hashes of the filter begin, with those."""
+    for raw, at in pieces(column):
+        small, s, e, first = words_of(raw, at)
+        hashes, ends = span_hashes(small, s, e), np.repeat(first[1:], np.diff(first))
+        hits = []
+        for k in sizes:
+            own = row_hashes(hashes, k)
+            p = np.flatnonzero(np.arange(len(own)) + k <= ends[: len(own)])
+            p = p[known.has(own[p])]
+            hits.append((k, p, own[p]))
+        yield small, s, e, first, hits
+
+
+def counted(texts: DataFrame, known: Broadcast, sizes: list[int]) -> DataFrame:
+    """(hash, n): how often the corpus holds the shingles of the filter, summed over each stretch before the shuffle."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *_, hits in places(b.column(0), Filter(known.value), sizes):
+                u, n = np.unique(np.concatenate([h for _, _, h in hits]) if hits else np.empty(0, np.uint64), return_counts=True)
+                yield batch("hash long, n long", u.view(np.int64), n)
+
+    return texts.select("text").mapInArrow(go, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def prefixes(windows: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(window, size, hash, at) with each window's rarest shingle, ties to the smaller hash, and the sizes of shingles.
+
+    A window with a shingle that no document holds is nowhere, so it is left out.
+    """
+    shingles = shingles_of(windows)
+    sizes = [r.k for r in shingles.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().collect()]  # SHINGLE at most
+    counts = counted(texts, filter_of(shingles.select("hash").distinct()), sizes)
+    rarest = shingles.join(counts, "hash", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")).alias("p"))
+    return stored(rarest.where("p.n > 0").select("window", "size", "p.hash", F.col("p.place").alias("at")), "prefixes"), sizes
+
+
+def candidates(texts: DataFrame, known: Broadcast, sizes: list[int]) -> DataFrame:
+    """A row per text with its number of words, and one per place of a prefix: its word, the first word around it and these words."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = 0
+            for small, s, e, first, hits in places(b.column(2), Filter(known.value), sizes):
+                n, whole = len(first) - 1, small.tobytes()
+                part = [b.column(i).slice(row, n) for i in (0, 1)]
+                yield batch(PLACE, *part, np.diff(first), *[pa.nulls(n)] * 4)
+                row += n
+                for k, p, h in hits:
+                    if len(p):
+                        doc = np.searchsorted(first, p, "right") - 1
+                        lo, hi = np.maximum(first[doc], p + k - WINDOW), np.minimum(first[doc + 1], p + WINDOW)
+                        around = [" ".join([whole[x:y].decode() for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        yield batch(PLACE, pa.nulls(len(p)), part[1].take(pa.array(doc)), pa.nulls(len(p)), h.view(np.int64), p - first[doc], lo - first[doc], around)
+
+    return stored(texts.select("doc_id", "key", "text").mapInArrow(go, PLACE), "window-places")
+
+
+def text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
+
+
+def occurrences(docs: DataFrame, items: DataFrame, item: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as (doc_id, key, n_words), and what they hold as (key, start, size, item): the windows of items in each text."""
+    texts = whole_text(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    windows = windows_of(items, item, text="text")
+    wanted, sizes = prefixes(windows, texts)
+    found = candidates(texts, filter_of(wanted.select("hash").distinct()), sizes)
+    start = F.col("place") - F.col("at")
+    met = found.where("hash IS NOT NULL").select("key", "hash", "place", "first", "around").join(small_or_joined(wanted), "hash").withColumn("start", start)
+    words = F.slice(F.split("around", " "), (F.col("start") - F.col("first") + 1).cast("int"), F.col("size"))
+    same = met.where(F.col("start") >= F.col("first")).where(F.array_join(words, " ") == F.col("window"))
+    hits = stored(same.select("key", "start", "size", "window").distinct().join(small_or_joined(windows.select("window", "item")), "window").select("key", "start", "size", "item"), "window-hits")
+    return found.where("hash IS NULL").select("doc_id", "key", "n_words"), hits
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, item: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: words, hit words, items with occurring windows and their digest."""
     ready(docs.sparkSession)
-    blocks = index_of(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), items, item, "text")
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measure(raw, at, blocks) for raw, at in pieces(batch.column(1))]
-            n_words, n_hit, named = (sum((list(f[i]) for f in found), []) for i in range(3))
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]
-            columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, named), pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in n_hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return whole_text(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(go, SCHEMA)
-
-
-def measure(raw: np.ndarray, at: np.ndarray, blocks: list[Broadcast]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """By text: the number of words, of hit words, and the items hit."""
-    small, s, e, first = words_of(raw, at)
-    hashes = span_hashes(small, s, e)
-    edge, named = np.zeros(len(s) + 1, np.int64), [set() for _ in range(len(at) - 1)]
-    for b in blocks:
-        block = b.value
-        place, window = hits(block, small, s, e, first, hashes)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + block.size[window], -1)
-        for d, v in zip((np.searchsorted(first, place, "right") - 1).tolist(), window.tolist(), strict=True):
-            named[d].update(block.items[v])
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-    return np.diff(first).tolist(), (covered[first[1:]] - covered[first[:-1]]).tolist(), named
+    rows, hits = occurrences(docs, items.select(F.col(item).alias("item_id"), F.col("text")), "item_id", key, text)
+    # the widest window at each start, then a walk over starts in order
+    widest = hits.groupBy("key", "start").agg(F.max("size").alias("size")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
+    state = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    walk = F.aggregate("spans", state, lambda t, x: F.struct(F.greatest(t["end"], x["end"]).alias("end"), (t["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], t["end"]))).alias("n")))
+    named = hits.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    of = widest.select("key", walk["n"].alias("n_hit")).join(named, "key")
+    none = F.array().cast("array<string>")
+    out = rows.join(small_or_joined(stored(of, "hit-texts")), "key", "left").withColumn("items", F.coalesce("items", none))
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no window of any item."""
     ready(docs.sparkSession)
-    blocks = index_of(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), items, item, "text")
-    at_text = docs.columns.index(text)
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [not h for raw, at in pieces(batch.column(at_text)) for h in measure(raw, at, blocks)[1]]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(go, docs.schema)
+    plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    _, hits = occurrences(plain, items.select(F.col(item).alias("item_id"), F.col("text")), "item_id", "doc_id", "text")
+    gone = stored(hits.select(F.col("key").alias("_gone")).distinct(), "contaminated-texts")
+    return docs.join(small_or_joined(gone), text_key(docs[text]) == gone["_gone"], "left_anti").select(docs.columns)

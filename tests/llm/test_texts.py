@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from assaymill.llm import decontamination, jaccard, packing, pii, substrings, token_output, tokens
+from assaymill.llm import common, decontamination, jaccard, packing, pii, substrings, token_output, tokens
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long, kind string, region string"
 
@@ -217,8 +217,9 @@ def test_jaccard_edges(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["0", "2", "None"]
 
 
-def test_decontamination_is_exact(spark, everything, monkeypatch):
-    monkeypatch.setattr(decontamination, "ITEMS_A_BLOCK", 2)
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_decontamination_is_exact(spark, everything, monkeypatch, rows):
+    monkeypatch.setattr(common, "ROWS_AT_ONCE", rows)
     texts = corpus()
     items = [(7, texts[0][20:200]), (10, "one two"), (9, texts[-15]), (3, None), (None, "one two"), (11, ""), (12, texts[0][20:200].upper()), (10, "one two")]
     got = collected(decontamination.decontaminate(everything, spark.createDataFrame(items, "item_id long, text string")))
