@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
 from assaymill.functions.text import question_key
 from assaymill.operators.coverage import publishable
+from assaymill.plans.session import checkpoints
 
 
 def having(df: DataFrame, **wanted) -> DataFrame:
@@ -51,11 +50,12 @@ def empty_reason(eiu: DataFrame, cases: DataFrame, document_ids: list[int] | Non
     return a.join(F.broadcast(b)).select(F.when(F.col("n") == 0, "no_statement").when(F.col("q") == 0, "no_questionable").when(F.col("c") == 0, "no_publishable_case").alias("reason"))
 
 
-def freeze(cases: DataFrame, version_id: int, document_ids: list[int] | None = None) -> DataFrame:
-    """The publishable cases of a version, one of each question, with their ids inside it."""
+def freeze(cases: DataFrame, version_id: int | None, document_ids: list[int] | None = None) -> DataFrame:
+    """The publishable cases of a version, one of each question, with their ids inside it; without a version neither is set yet."""
     kept = dedup_exact(publishable(cases, document_ids)).where("kept").drop("kept")
     uid = F.format_string("case_%04d_%06d", F.lit(version_id), F.col("case_id"))
-    return kept.withColumns({"version_id": F.lit(version_id).cast("long"), "case_uid": uid, "source": F.lit("native"), "retired": F.lit(False)})
+    out = kept.withColumns({"source": F.lit("native"), "retired": F.lit(False)})
+    return out if version_id is None else out.withColumns({"version_id": F.lit(version_id).cast("long"), "case_uid": uid})
 
 
 def statistics(cases: DataFrame, *dimensions: str, limit: int | None = S.PAGE, order: str = "case_id") -> DataFrame:
@@ -113,13 +113,20 @@ def replaced_checks(checks: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """A dense number in order from 1, without all rows in one task: ranges are counted, then numbered."""
+    """A dense number in order from 1, without all rows in one task; rows that tie are numbered in any order.
+
+    Rows are dealt into ordered ranges and written once, so that counts and numbers see the same ranges.
+    """
     spark = df.sparkSession
+    checkpoints(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    tie = "_tie"  # parts the rows of one key as well
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    kept = dealt.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    kept = kept.withColumns({"_p": F.shiftright("_at", 33), "_i": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each partition
-    return dealt.join(F.broadcast(base), "_p").withColumn(key, (F.col("_b") + F.col("_i")).cast("long")).drop("_p", "_i", "_b")
+    return kept.join(F.broadcast(base), "_p").withColumn(key, (F.col("_b") + F.col("_i") + 1).cast("long")).drop("_p", "_i", "_b", "_at")
 
 
 def inserted_statements(items: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -148,6 +155,3 @@ def revised(cases: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]
     changed = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in names])))
     return out, live.select(F.col("case_id").cast("string").alias("target_id"), F.lit("dataset_case.revise").alias("operation"), changed.alias("changed_fields"))
 
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(Column.__or__, conditions)

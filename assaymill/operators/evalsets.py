@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +116,69 @@ def composed(items: DataFrame, rows: DataFrame, distinct_sets: bool = False) ->
     else:
         out = rows.join(wanted, ["source", "ref_id"])
     return out.where(F.col("_dim").isNull() | (F.col("_dim") == F.col("dimension"))).drop("_dim")
+
+
+def stored_cases(cases: DataFrame, set_id: int, with_evidence: bool = True) -> DataFrame:
+    """Rows of a set as they are kept: texts as strings, whether evidence is absent, and the one status of checked imports."""
+    rows = cases.withColumns({"set_id": F.lit(set_id).cast("long"), "q": F.col("q").cast("string"), "a": F.col("a").cast("string"), "review_status": F.lit("quality_checked")})
+    return rows.withColumn("no_evidence", F.coalesce(F.length(F.col("evidence").cast("string")), F.lit(0)) == 0) if with_evidence else rows
+
+
+@dataclass
+class Imported:
+    """The rows that an import writes; where ``errors`` has any, the other two are empty."""
+
+    errors: DataFrame
+    sets: DataFrame
+    cases: DataFrame
+
+
+def _imported(cases: DataFrame, multi: bool, set_id: int, fields: dict, with_evidence: bool) -> Imported:
+    errors = validated(cases, multi)
+    sound = errors.agg((F.count(F.lit(1)) == 0).alias("_sound")).where("_sound")  # a row or none
+    rows = lifted(cases) if multi else cases
+    quality = assessed(rows).drop("total")
+    made = {c: F.lit(v) for c, v in fields.items()} | {"set_id": F.lit(set_id).cast("long"), "review_status": F.lit("quality_checked")}
+    head = assessed(rows).select(F.col("total").alias("total_cases")).join(F.broadcast(quality.select(F.struct(*quality.columns).alias("quality_snapshot")))).withColumns(made)
+    return Imported(errors, head.join(F.broadcast(sound)).drop("_sound"), stored_cases(rows, set_id, with_evidence).join(F.broadcast(sound)).drop("_sound"))
+
+
+def imported_upload(cases: DataFrame, set_id: int, name: str, template: str = "single", dimension: str | None = None, source_file: str | None = None) -> Imported:
+    """A set that a user uploads: checked, its last turns lifted, assessed; its row and its cases."""
+    if template not in ("single", "multi"):
+        raise ValueError(f"unknown template: {template}")
+    return _imported(cases, template == "multi", set_id, {"name": name, "template_type": template, "dimension": dimension, "source_file": source_file}, True)
+
+
+def imported_public(cases: DataFrame, set_id: int, name: str, version: str = "v1.0.0", dimensions: list[str] | None = None) -> Imported:
+    """A public set of single turns, whatever status its cases came with."""
+    return _imported(cases, False, set_id, {"name": name, "version": version, "dimensions": ",".join(dimensions or []), "status": "active"}, False)
+
+
+def without_set(sets: DataFrame, cases: DataFrame, set_id: int) -> tuple[DataFrame, DataFrame]:
+    """Sets and cases without a set and all of its cases."""
+    return sets.where(F.col("set_id") != set_id), cases.where(F.col("set_id") != set_id)
+
+
+@dataclass
+class Composition:
+    """The rows that creating a composition writes; where ``errors`` has any, the others are empty."""
+
+    errors: DataFrame
+    compositions: DataFrame
+    items: DataFrame
+    audit: DataFrame
+
+
+def created(items: DataFrame, composition_id: int, name: str, versions: DataFrame, uploaded: DataFrame, public: DataFrame, created_by: str | None = None) -> Composition:
+    """A composition of items whose sources exist and are frozen, with its audit row; otherwise its first errors."""
+    errors = composition_errors(items, versions, uploaded, public).orderBy("item_pos").limit(S.MAX_ERRORS)
+    sound = errors.agg((F.count(F.lit(1)) == 0).alias("_sound")).where("_sound").drop("_sound")  # a row or none
+    head = sound.select(F.lit(composition_id).cast("long").alias("composition_id"), F.lit(name).alias("name"), F.lit(created_by).cast("string").alias("created_by"))
+    kept = items.withColumn("composition_id", F.lit(composition_id).cast("long")).join(F.broadcast(head.select("composition_id")), "composition_id", "left_semi")
+    counted = head.join(F.broadcast(items.agg(F.count(F.lit(1)).alias("n_items"))))
+    audit = counted.select(
+        F.lit("composition.create").alias("operation"), F.lit("composition").alias("target_type"), F.col("composition_id").cast("string").alias("target_id"),
+        F.coalesce("created_by", F.lit("web")).alias("actor"), F.array(F.lit("items"), F.lit("name")).alias("fields"),
+    )
+    return Composition(errors, counted, kept, audit)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
-from assaymill.functions.scoring import dot
-from assaymill.functions.text import classified, cleaned_statement, constraints, dedup_key, sentences, skippable, truncated
+from assaymill.functions.scoring import confidence
+from assaymill.functions.text import classified, cleaned_statement, constraints, dedup_key, json_list, sentences, skippable, trimmed, truncated
+from assaymill.plans.session import checkpoints
 
 
 def source_text(blocks: DataFrame) -> DataFrame:
@@ -42,31 +47,95 @@ def exclusions(blocks: DataFrame, found: DataFrame, reason: str = "无实质内
 
 
 def across_blocks(items: DataFrame) -> DataFrame:
-    """Questionable statements whose key an earlier block has are kept as excluded; those of one block aren't compared."""
-    key = F.when(F.col("is_questionable"), dedup_key(F.col("statement")))
-    rows = items.withColumn("_key", key)
-    first = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min("block_id").alias("_first"))
-    out = rows.join(first, "_key", "left")
-    again = F.coalesce(F.col("_first") < F.col("block_id"), F.lit(False))
-    return out.withColumns({
-        "is_questionable": F.col("is_questionable") & ~again, "exclusion_reason": F.when(again, "与已抽取知识点语义重复（同义去重）").otherwise(F.col("exclusion_reason")),
+    """Questionable statements whose key an earlier block has are kept as excluded; those of one block aren't compared.
+
+    Statements that aren't asked about have no key and take no part; a key's first block is a minimum over a window,
+    which is made of the rows with a key alone.
+    """
+    rows = items.withColumn("_key", F.when(F.col("is_questionable"), dedup_key(F.col("statement"))))
+    keyed, rest = rows.where("_key IS NOT NULL"), rows.where("_key IS NULL").drop("_key")
+    first = keyed.groupBy("_key").agg(F.min("block_id").alias("_first"))
+    out = keyed.join(first, "_key")
+    again = F.col("_first") < F.col("block_id")
+    marked = out.withColumns({
+        "is_questionable": ~again, "exclusion_reason": F.when(again, "与已抽取知识点语义重复（同义去重）").otherwise(F.col("exclusion_reason")),
     }).drop("_key", "_first")
+    return marked.select(items.columns).unionByName(rest.select(items.columns))
 
 
 def extracted(blocks: DataFrame) -> DataFrame:
-    """The whole rule-based run: statements, exclusion records, duplicates across blocks marked."""
-    found = statements(blocks)
-    return across_blocks(found.unionByName(exclusions(blocks, found)))
+    """The whole rule-based run: statements, exclusion records, duplicates across blocks marked. Statements are found once
+    and written, for three steps read them."""
+    checkpoints(blocks.sparkSession)
+    found = statements(blocks).checkpoint()
+    return across_blocks(found).unionByName(exclusions(blocks, found))
+
+
+def normalised(items: DataFrame, model: str) -> DataFrame:
+    """Statements that a model replied, (block_id, item), in the shape of the rules' own; those without text or of an unknown type are dropped.
+
+    Unknown priorities are P2, statements that aren't asked about have a reason, and others none.
+    """
+    text = trimmed(F.coalesce("item.statement", F.lit("")))
+    kind, priority = trimmed(F.coalesce("item.eiu_type", F.lit(""))), trimmed(F.coalesce("item.content_priority", F.lit("P2")))
+    asked = F.coalesce("item.is_questionable", F.lit(True))
+    reason = F.coalesce(F.nullif(trimmed(F.coalesce("item.exclusion_reason", F.lit(""))), F.lit("")), F.lit(S.NO_REASON))
+    return items.where((text != "") & kind.isin(S.STATEMENT_TYPES)).select(
+        "block_id", truncated(text).alias("statement"), kind.alias("eiu_type"), F.when(priority.isin(list(S.PRIORITY_WEIGHT)), priority).otherwise("P2").alias("content_priority"),
+        F.struct(*[F.col("item.constraints")[c].alias(c) for c in S.CONSTRAINT_KEYS]).alias("constraints"), F.array("block_id").alias("evidence_blocks"), asked.alias("is_questionable"),
+        F.when(~asked, reason).alias("exclusion_reason"), F.lit(model).alias("extraction_model"), confidence(F.col("item.extraction_confidence")).alias("extraction_confidence"),
+        F.lit("candidate").alias("review_status"),
+    )
+
+
+#: A statement in a model's reply.
+ITEM = "struct<statement:string,eiu_type:string,content_priority:string,is_questionable:boolean,exclusion_reason:string,constraints:map<string,string>,extraction_confidence:double>"
+
+
+def from_replies(replies: DataFrame, model: str) -> DataFrame:
+    """Statements of the replies (block_id, reply)."""
+    return normalised(replies.select("block_id", F.explode(json_list(F.col("reply"), ITEM)).alias("item")), model)
+
+
+#: Vectors of a block that are compared with those of another at once.
+BLOCK = 4096
+
+
+def near_pairs(items: DataFrame, threshold: float, group: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of items of one group whose inner product is the threshold or more.
+
+    A group's vectors go in blocks, and only near pairs become rows, so neither a task nor a row holds a group.
+    """
+    sizes = items.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    vector = F.transform("vector", lambda x: x.cast("double"))
+    dealt = items.where(F.col(group).isNotNull()).join(sizes, group).select(F.col(group).alias("g"), F.pmod(F.xxhash64("item_id"), F.col("_parts")).alias("p"), F.struct(F.col("item_id").cast("long").alias("id"), vector.alias("v")).alias("row"))
+    blocks = dealt.groupBy("g", "p").agg(F.collect_list("row").alias("rows"))
+    one, other = (blocks.select("g", F.col("p").alias(f"p_{s}"), F.col("rows").alias(s)) for s in "ab")
+    pairs = one.join(other, "g").where("p_a <= p_b").select("a", "b").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (x, v), (y, w) = ((r.field("id").to_numpy(), r.field("v")) for r in (batch.column(c)[i].values for c in (0, 1)))
+                for n in np.unique(v.value_lengths().fill_null(0)):  # only vectors of one length have a product
+                    k, m = (np.flatnonzero(u.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == n) for u in (v, w))
+                    a, b = (u.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) if n else np.zeros((len(at), 0)) for u, at in ((v, k), (w, m)))
+                    r, c = np.nonzero(a @ b.T >= threshold)
+                    p, q = x[k[r]], y[m[c]]
+                    pair = np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)])[p != q], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["id_a", "id_b"])
+
+    return pairs.mapInArrow(go, "id_a long, id_b long")
 
 
 def greedy_dedup(items: DataFrame, threshold: float = S.DEDUP_COSINE, group: str = "grp") -> DataFrame:
     """(item_id, kept): in order of ids, an item is kept unless an earlier kept one of its group is as near as the threshold.
 
-    Pairs come from a self join inside a group; then each round decides the items whose earlier neighbours are
-    decided, until none is left. Written rounds cut the lineage.
+    Near pairs come from blocks of a group; then each round decides the items whose earlier neighbours are decided,
+    until none is left. Written rounds cut the lineage.
     """
-    a, b = (items.select(F.col("item_id").alias(f"id_{s}"), F.col(group).alias(f"g_{s}"), F.col("vector").alias(f"v_{s}")) for s in "ab")
-    near = a.join(b, (F.col("g_a") == F.col("g_b")) & (F.col("id_a") < F.col("id_b"))).where(dot(F.col("v_a"), F.col("v_b")) >= threshold).select("id_a", "id_b").checkpoint()
+    checkpoints(items.sparkSession)
+    near = near_pairs(items, threshold, group).checkpoint()
     state = items.select("item_id").join(near.select(F.col("id_b").alias("item_id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).withColumn("_in", F.lit(True)), "item_id", "left")
     state = state.select("item_id", F.when(F.col("_in").isNull(), True).alias("kept")).checkpoint()
     while not state.where("kept IS NULL").isEmpty():

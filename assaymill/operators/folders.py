@@ -52,3 +52,43 @@ def rollup(rows: DataFrame, path: str = "folder_path") -> DataFrame:
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return rows.select(F.explode(prefixes).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+
+
+def created(folders: DataFrame, path: str, first_id: int) -> DataFrame:
+    """Folders with those of a path that are missing, each below the one before; the new ones are numbered from ``first_id`` on."""
+    names = [p for p in path.split("/") if p]
+    prefixes = ["/".join(names[: i + 1]) for i in range(len(names))]
+    spark = folders.sparkSession
+    known = {r.path: r.folder_id for r in with_paths(folders).where(F.col("path").isin(prefixes)).collect()} if prefixes else {}  # a row for each name of one path
+    rows = []
+    for i, prefix in enumerate(prefixes):
+        if prefix not in known:
+            known[prefix] = first_id + len(rows)
+            rows.append((known[prefix], known[prefixes[i - 1]] if i else None, names[i]))
+    return folders.unionByName(spark.createDataFrame(rows, folders.select("folder_id", "parent_id", "name").schema)) if rows else folders
+
+
+def checked_move(tree: DataFrame, source: str, target: str) -> DataFrame:
+    """(error) of a move that can't be made: an unknown folder, one that would go below itself, or a name that is taken there."""
+    below = target == source or target.startswith(source + "/")
+    found = tree.agg(F.count_if(F.col("path") == source).alias("known"), F.count_if((F.col("path") == target) & F.lit(target != source)).alias("taken"))
+    error = F.when(F.col("known") == 0, "unknown folder").when(F.lit(below), "into itself").when(F.col("taken") > 0, "name taken")
+    return found.select(error.alias("error")).where("error IS NOT NULL")
+
+
+def deleted(folder: str, tree: DataFrame, documents: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(folders, documents, cases) without a folder and all below it: documents move up, cases of the subtree go."""
+    path = F.coalesce("folder_path", F.lit(""))
+    return tree.where(~inside(F.col("path"), folder)), documents.withColumn("folder_path", lifted(path, folder)), cases.where(~inside(path, folder))
+
+
+def below(tree: DataFrame, parent: int | None = None) -> DataFrame:
+    """The folders right below one, or the roots, by name."""
+    return tree.where(F.col("parent_id").eqNullSafe(F.lit(parent))).orderBy("name")
+
+
+def shares(cases: DataFrame, *by: str) -> DataFrame:
+    """Reviewed cases in per cent: passed and rejected of all, whole numbers, 0 where there are none."""
+    ok = lambda *s: F.count_if(F.col("review_status").isin(*s))
+    percent = lambda c: F.coalesce(F.round(F.try_divide(c * 100.0, F.count(F.lit(1)))), F.lit(0)).cast("int")
+    return cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), percent(ok("quality_verified", "approved")).alias("passed_pct"), percent(ok("rejected")).alias("rejected_pct"))

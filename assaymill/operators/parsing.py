@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaymill import schemas as S
 from assaymill.functions.text import line_kind
+from assaymill.operators.cases import numbered
 
 
 def lines(documents: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
@@ -18,27 +19,37 @@ def lines(documents: DataFrame, key: str = "document_id", text: str = "text") ->
     return rows.where("k IS NOT NULL").select("document_id", "line_no", "k.block_type", "k.level", "k.text", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("line")).cast("long").alias("end"))
 
 
-def merged(rows: DataFrame, limit: int = S.MAX_MERGE) -> DataFrame:
+def merged(rows: DataFrame, limit: int = S.MAX_MERGE, keep_line: bool = False) -> DataFrame:
     """Neighbouring lines of one type that is no heading become one block: always up to ``limit`` characters, up to twice
-    that only where the text so far doesn't end a sentence, beyond that never. A document's lines are folded in order."""
-    item = F.struct("line_no", "block_type", "level", "text", "start", "end")
-    ordered = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    shape = "array<struct<line_no:int,block_type:string,level:int,text:string,start:bigint,end:bigint>>"
+    that only where the text so far doesn't end a sentence, beyond that never.
 
-    def step(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        size = F.length(last["text"]) + F.length(x["text"])
-        ends = F.coalesce(last["text"].rlike("[。！？；;….]$"), F.lit(False))
-        alike = (F.size(done) > 0) & last["level"].isNull() & x["level"].isNull() & (last["block_type"] == x["block_type"])
-        joins = F.coalesce(alike & ((size <= limit) | ((size <= 2 * limit) & ~ends)), F.lit(False))
-        one = F.struct(
-            last["line_no"].alias("line_no"), last["block_type"].alias("block_type"), last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"),
-            last["start"].alias("start"), x["end"].alias("end"),
-        )
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(done, F.array(x)))
+    A document's lines are folded in order over their lengths alone; texts are joined once, block by block. With
+    ``keep_line`` a block keeps the number of its first line.
+    """
+    w = Window.partitionBy("document_id").orderBy("line_no")
+    alike = F.coalesce(F.col("level").isNull() & F.lag(F.col("level").isNull()).over(w) & (F.col("block_type") == F.lag("block_type").over(w)), F.lit(False))
+    ends = F.coalesce(F.lag(F.col("text").rlike("[。！？；;….]$")).over(w), F.lit(False))
+    item = F.struct("line_no", "_alike", "_ends", F.length("text").alias("n"))
+    flagged = rows.withColumns({"_alike": alike, "_ends": ends})
+    sizes = flagged.groupBy("document_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    state = F.struct(F.lit(0).cast("int").alias("size"), F.array().cast("array<int>").alias("begins"))
 
-    folded = F.aggregate("items", F.array().cast(shape), step)
-    return ordered.select("document_id", F.posexplode(folded).alias("position", "b")).select("document_id", "position", "b.block_type", "b.level", "b.text", "b.start", "b.end")
+    def step(done, x):
+        size = done["size"] + x["n"]
+        joins = x["_alike"] & ((size <= limit) | ((size <= 2 * limit) & ~x["_ends"]))
+        return F.struct(F.when(joins, size + 1).otherwise(x["n"]).alias("size"), F.when(joins, done["begins"]).otherwise(F.concat(done["begins"], F.array(x["line_no"]))).alias("begins"))
+
+    starts = sizes.select("document_id", F.explode(F.aggregate("items", state, step)["begins"]).alias("line_no"))
+    marked = rows.join(starts.withColumn("_first", F.lit(1)), ["document_id", "line_no"], "left")
+    position = F.sum(F.coalesce("_first", F.lit(0))).over(w) - 1
+    part = F.struct("line_no", "block_type", "level", "text", "start", "end")
+    blocks = marked.withColumn("position", position.cast("int")).groupBy("document_id", "position").agg(F.sort_array(F.collect_list(part)).alias("b"))
+    first, last = F.element_at("b", 1), F.element_at("b", -1)
+    line = [first["line_no"].alias("line_no")] if keep_line else []
+    return blocks.select(
+        "document_id", *line, "position", first["block_type"].alias("block_type"), first["level"].alias("level"), F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"),
+        first["start"].alias("start"), last["end"].alias("end"),
+    )
 
 
 def hierarchy(blocks: DataFrame, levels: int = 6) -> DataFrame:
@@ -76,3 +87,10 @@ def context(blocks: DataFrame) -> DataFrame:
     """Adds ``context_ids``: the blocks one before and one after, in order of their ids."""
     w = Window.partitionBy("document_id").orderBy("block_id").rowsBetween(-1, 1)
     return blocks.withColumn("context_ids", F.array_sort(F.array_except(F.collect_list("block_id").over(w), F.array("block_id"))))
+
+
+def with_ids(blocks: DataFrame) -> DataFrame:
+    """Adds ``block_id``, a dense number in order of documents and positions, and ``parent_block_id`` for ``parent_position``."""
+    known = numbered(blocks, "block_id", F.col("document_id"), F.col("position"))
+    above = known.select("document_id", F.col("position").alias("parent_position"), F.col("block_id").alias("parent_block_id"))
+    return known.join(above, ["document_id", "parent_position"], "left")

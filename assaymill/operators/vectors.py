@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
 from assaymill.functions.scoring import dot
 from assaymill.functions.text import tokens
 
-#: Query vectors compared at a time; more queries go in blocks of this size.
-QUERIES_AT_ONCE = 500
+#: Query vectors that are sent to all tasks at a time; more queries go in blocks of this size.
+QUERIES_AT_ONCE = 5000
 
 
 def indexed(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -18,38 +22,80 @@ def indexed(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFram
     return vectors.where(F.size(vector) == dim)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 5, least: float | None = None, itself: bool = False) -> DataFrame:
-    """(query_id, item_id, score, rank): the best items of each query by inner product, ties to the smaller id.
+def without_documents(vectors: DataFrame, documents: DataFrame) -> DataFrame:
+    """An index without the vectors of some documents."""
+    return vectors.join(documents.select("document_id"), "document_id", "left_anti")
 
-    ``queries``: (query_id, vector), few enough to be broadcast in blocks; ``items``: (item_id, vector), any number.
-    Each task keeps its own best k of a query before the shuffle.
-    """
+
+def pairs_of(queries: DataFrame, items: DataFrame, score: Callable[[Column, Column], Column], itself: bool = False) -> DataFrame:
+    """(query_id, item_id, score) of all items for a stated set of queries, a block of queries at a time."""
     n = queries.count()
     blocks = -(-n // QUERIES_AT_ONCE) or 1
     out = None
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = items.join(F.broadcast(some.withColumnRenamed("vector", "_q")))  # QUERIES_AT_ONCE rows or about
-        if not itself:
-            pairs = pairs.where(F.col("query_id") != F.col("item_id"))
-        scored = pairs.select("query_id", "item_id", dot(F.col("vector"), F.col("_q")).alias("score"))
-        scored = scored if least is None else scored.where(F.col("score") >= least)
+        pairs = pairs if itself else pairs.where(F.col("query_id") != F.col("item_id"))
+        scored = pairs.select("query_id", "item_id", score(F.col("vector"), F.col("_q")).alias("score"))
         out = scored if out is None else out.unionByName(scored)
-    order = [F.col("score").desc(), F.col("item_id")]
-    near = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))
-    local = out.withColumn("_part", F.spark_partition_id()).withColumn("_r", near).where(F.col("_r") <= k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
+    return out
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = 5, least: float | None = None, itself: bool = False, digits: int | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank): the best items of each query by inner product, ties to the smaller id.
+
+    ``queries``: (query_id, vector); ``items``: (item_id, vector), any number, filtered beforehand where only some count.
+    Spark keeps each task's best k of a query before the shuffle.
+    """
+    scored = pairs_of(queries, items, dot, itself)
+    scored = scored if least is None else scored.where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id")))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
 def best_reuse(queries: DataFrame, items: DataFrame, threshold: float = S.REUSE_COSINE) -> DataFrame:
     """The most similar earlier item of each query at or above the threshold; ties to the later id."""
-    pairs = items.join(F.broadcast(queries.withColumnRenamed("vector", "_q")))  # few queries, as in top_k
-    scored = pairs.select("query_id", "item_id", dot(F.col("vector"), F.col("_q")).alias("score")).where((F.col("score") >= threshold) & (F.col("query_id") != F.col("item_id")))
+    scored = pairs_of(queries, items, dot).where(F.col("score") >= threshold)
     best = scored.groupBy("query_id").agg(F.max(F.struct("score", "item_id")).alias("b"))
     return best.select("query_id", F.col("b.item_id").alias("item_id"), F.round("b.score", 4).alias("similarity"))
 
 
+def scored_pairs(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
+    """Adds ``score`` to rows with ``question`` and ``text``: a model of pairs, given a batch at a time."""
+
+    @F.pandas_udf("double")
+    def score(question: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(scorer(question.fillna("").tolist(), text.fillna("").tolist()), dtype="float64")
+
+    return pairs.withColumn("score", score("question", "text"))
+
+
+def reranked(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int | None = None) -> DataFrame:
+    """Texts of each query by the score of a model of pairs, best first with ``rank``, cut after ``k`` where it is given."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id")))
+    out = scored_pairs(pairs, scorer).withColumn("rank", rank)
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def encoded(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]] | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds ``embedding``: the unit vector that a model gives each text, after a prefix that queries may have.
+
+    Without a model, and for texts that are null, vectors are null; a zero vector stays as it is.
+    """
+    if encoder is None:
+        return rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        some = texts[texts.notna()]
+        made = np.array(encoder([prefix + t for t in some]), float).reshape(len(some), -1)
+        norm = np.sqrt((made * made).sum(1, keepdims=True))
+        return pd.Series([*(made / np.where(norm == 0, 1, norm)).astype("float32")], some.index, dtype=object).reindex(texts.index)
+
+    return rows.withColumn("embedding", encode(text))
+
+
 def lexical(question: str, blocks: DataFrame) -> DataFrame:
     """(block_id, score): cosine of word counts and a tenth for each word shared; blocks without a shared word score 0."""
     asked = blocks.sparkSession.createDataFrame([(question,)], "t string").select(F.explode(tokens(F.col("t"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("q"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
@@ -15,6 +15,8 @@ from assaymill.operators import evalsets as U
 from assaymill.operators import evaluate as E
 from assaymill.operators import extraction as X
 from assaymill.operators import folders as D
+from assaymill.operators import generation as G
+from assaymill.operators import lookups as L
 from assaymill.operators import parsing as P
 from assaymill.operators import quality as Q
 from assaymill.operators import vectors as T
@@ -102,11 +104,14 @@ def agg08_reconciliation(s: SparkSession, d: str) -> DataFrame:
     return V.reconciliation(eiu, blocks)
 
 
-@query(*covering("""SELECT CASE WHEN sum(CASE WHEN is_questionable THEN 0 ELSE 1 END) > 0.5 * count(*) THEN 1 ELSE 0 END + CASE WHEN sum(CASE WHEN exclusion_reason LIKE '%难生成%' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END
-+ CASE WHEN count(DISTINCT block_id) < (SELECT count(*) FROM v_block WHERE block_type <> 'title') THEN 1 ELSE 0 END AS n_alerts FROM active"""))
+@query(*covering(""", s AS (SELECT count(*) AS n, sum(CASE WHEN is_questionable THEN 0 ELSE 1 END) AS o, min(CASE WHEN exclusion_reason LIKE '%难生成%' AND NOT is_questionable THEN eiu_id END) AS bad,
+count(DISTINCT block_id) AS c, (SELECT count(*) FROM v_block WHERE block_type <> 'title') AS t, (SELECT count(*) FROM v_block WHERE block_type <> 'title' AND block_id NOT IN (SELECT block_id FROM active)) AS u FROM active)
+SELECT concat_ws(chr(10), CASE WHEN o > 0.5 * n THEN '排除记录占比 ' || CAST(CAST(round(o * 100.0 / n) AS INTEGER) AS STRING) || '% 超过 50%，疑似覆盖率分母被人为排空，请检查 exclusion_reason' END,
+CASE WHEN bad IS NOT NULL THEN 'EIU ' || CAST(bad AS STRING) || ' 的排除原因不合理（' || (SELECT exclusion_reason FROM active WHERE eiu_id = bad) || '），不得因''题目难生成''排除' END,
+CASE WHEN c < t THEN '实质 Block 对账率 ' || CAST(CAST(round(c * 100.0 / t) AS INTEGER) AS STRING) || '% < 100%，有 ' || CAST(u AS STRING) || ' 个段落未生成 EIU 或排除记录' END) AS alerts FROM s"""))
 def agg09_alerts(s: SparkSession, d: str) -> DataFrame:
     eiu, blocks, _, _ = report_tables(s, d)
-    return V.alerts(eiu, blocks).select(F.size("alerts").alias("n_alerts"))
+    return V.alerts(eiu, blocks).select(F.array_join("alerts", "\n").alias("alerts"))
 
 
 @query(*covering("""SELECT w >= 0.85 AND p >= 1 AND r >= 1 AS gate_passed, CASE WHEN w < 0.85 THEN 'weighted_coverage,' ELSE '' END || CASE WHEN p < 1 THEN 'p0_coverage,' ELSE '' END || CASE WHEN r < 1 THEN 'reconciliation,' ELSE '' END AS failures FROM (
@@ -165,7 +170,7 @@ def jn01_joined_statements(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT b.block_id FROM v_block b WHERE EXISTS (SELECT 1 FROM v_document d WHERE d.document_id = b.document_id)", "block", "document")
 def jn02_blocks_of_documents(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "block").join(view(s, d, "document"), "document_id", "left_semi").select("block_id")
+    return L.blocks_of(view(s, d, "block"), view(s, d, "document")).select("block_id")
 
 
 @query(*covering("SELECT eiu_id, content_priority, section_path FROM active WHERE is_questionable AND eiu_id NOT IN (SELECT eiu_id FROM covered)"))
@@ -179,10 +184,11 @@ def jn06_pending_generation(s: SparkSession, d: str) -> DataFrame:
     return C.pending(view(s, d, "eiu"), view(s, d, "case")).select("eiu_id")
 
 
-@query(*covering("SELECT block_id, section_path FROM v_block WHERE block_type <> 'title' AND block_id NOT IN (SELECT block_id FROM active)"))
+@query(*covering("SELECT block_id, section_path FROM v_block WHERE block_type <> 'title' AND block_id NOT IN (SELECT block_id FROM active WHERE content_priority = 'P0')"))
 def jn07_uncovered_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Blocks without a statement of the first priority."""
     eiu, blocks, _, _ = report_tables(s, d)
-    return V.uncovered_blocks(eiu, blocks)
+    return V.uncovered_blocks(C.having(eiu, content_priority="P0"), blocks)
 
 
 @query("""SELECT eiu_id, content_priority, eiu_type FROM v_eiu JOIN v_block USING (block_id) WHERE eiu_type IN ('rule', 'date') AND content_priority = 'P1' AND is_questionable
@@ -205,7 +211,7 @@ def flt03_case_page(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT document_id, file_name FROM v_document WHERE coalesce(folder_path, '') = ''", "document")
 def flt06_root_documents(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "document").where(F.coalesce("folder_path", F.lit("")) == "").select("document_id", "file_name")
+    return L.documents_in_folder(view(s, d, "document")).select("document_id", "file_name")
 
 
 @query("SELECT case_id, eiu_id FROM v_case WHERE review_status IN ('quality_verified', 'governance_passed', 'user_confirmed', 'published') AND document_id IN (1, 2)", "case")
@@ -213,15 +219,14 @@ def flt07_publishable(s: SparkSession, d: str) -> DataFrame:
     return V.publishable(view(s, d, "case"), [1, 2]).select("case_id", "eiu_id")
 
 
-@query("""SELECT case_id, length(trim(q)) > 0 AND length(a) >= 8 AND coalesce(trim(evidence), '') NOT IN ('', '-', '—') AS accepted FROM v_upload""", "upload")
+@query("""SELECT case_id, q <> '' AND length(a) >= 8 AND coalesce(evidence, '') NOT IN ('', '—') AS accepted FROM v_upload""", "upload")
 def flt09_row_gate(s: SparkSession, d: str) -> DataFrame:
-    ok = (F.length(F.trim("q")) > 0) & (F.length("a") >= 8) & ~F.coalesce(F.trim("evidence"), F.lit("")).isin("", "-", "—")
-    return view(s, d, "upload").select("case_id", ok.alias("accepted"))
+    return view(s, d, "upload").select("case_id", L.accepted(F.col("q"), F.col("a"), F.col("evidence")).alias("accepted"))
 
 
 @query("SELECT document_id, CAST(count(*) AS BIGINT) AS n FROM v_block WHERE block_type <> 'title' GROUP BY document_id", "block")
 def flt12_paragraphs(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "block").where("block_type <> 'title'").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    return L.paragraphs(view(s, d, "block"))
 
 
 @query("SELECT eiu_id, CASE WHEN content_priority = 'P0' OR eiu_type IN ('threshold', 'definition', 'rule', 'prohibition', 'exception') THEN 'L2' ELSE 'L1' END AS difficulty FROM v_eiu", "eiu")
@@ -245,7 +250,7 @@ def scr01_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 SCORED = SQL["scr01_scores"]
-RESULTS = f"WITH r AS (SELECT x.*, v.run_id, v.dimension, v.difficulty, v.latency_ms FROM ({SCORED}) x JOIN ({with_views('SELECT * FROM v_result', 'result')}) v USING (result_id)) "
+RESULTS = f"WITH r AS (SELECT x.*, v.run_id, v.dimension, v.difficulty, v.latency_ms, v.tokens, v.cost FROM ({SCORED}) x JOIN ({with_views('SELECT * FROM v_result', 'result')}) v USING (result_id)) "
 
 
 def scored_results(s: SparkSession, d: str) -> DataFrame:
@@ -254,9 +259,12 @@ def scored_results(s: SparkSession, d: str) -> DataFrame:
 
 @query(RESULTS + """SELECT run_id, CAST(count(*) AS BIGINT) AS total, CAST(count(score) AS BIGINT) AS scored, CAST(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS passed,
 CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error_count, round(sum(latency_ms), 2) AS total_latency_ms,
-round(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) / nullif(CAST(count(score) AS DOUBLE), 0), 4) AS passed_rate, round(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 4) AS error_rate FROM r GROUP BY run_id""")
+round(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) / nullif(CAST(count(score) AS DOUBLE), 0), 4) AS passed_rate, round(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 4) AS error_rate,
+CAST(sum(tokens) AS BIGINT) AS total_tokens, sum(cost) AS total_cost, (SELECT string_agg(x.diagnosis || ':' || CAST(x.n AS STRING), ',' ORDER BY x.diagnosis) FROM (SELECT diagnosis, count(*) AS n FROM r y WHERE y.run_id = r.run_id AND diagnosis IS NOT NULL GROUP BY diagnosis) x) AS diagnoses
+FROM r GROUP BY run_id""")
 def agg14_run_summary(s: SparkSession, d: str) -> DataFrame:
-    return E.run_summary(scored_results(s, d)).withColumn("total_latency_ms", F.round("total_latency_ms", 2))
+    codes = F.transform(F.map_entries("diagnoses"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return E.run_summary(scored_results(s, d)).withColumns({"total_latency_ms": F.round("total_latency_ms", 2), "diagnoses": F.array_join(codes, ",")})
 
 
 @query(RESULTS + """SELECT coalesce(difficulty, 'unknown') AS difficulty, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM r GROUP BY 1""")
@@ -355,14 +363,79 @@ def win06_line_offsets(s: SparkSession, d: str) -> DataFrame:
     return P.lines(view(s, d, "text")).select("document_id", "line_no", "start", "end")
 
 
-@query()
+W = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]"
+
+
+def trim_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{W}+|{W}+$', '', 'g')"
+
+
+#: Lines of texts, folded into blocks: the state is the size so far, as one block's text would have.
+BLOCKS_SQL = f"""WITH RECURSIVE v_text AS (SELECT doc_id AS document_id, text FROM documents),
+raw AS (SELECT document_id, {trim_sql("unnest(string_split(text, chr(10)))")} AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM v_text),
+kinds AS (SELECT document_id, line_no, regexp_extract(s, '^(#{{1,6}}){W}+', 1) AS marks, s, regexp_matches(s, '^([-*+]|[0-9]+[.)]){W}+') AS item FROM raw WHERE s <> ''),
+l AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS rn, CASE WHEN marks <> '' THEN 'title' WHEN item THEN 'list_item' ELSE 'paragraph' END AS kind,
+CASE WHEN marks <> '' THEN length(marks) END AS level, CASE WHEN marks <> '' THEN {trim_sql("substr(s, length(marks) + 1)")} ELSE s END AS text FROM kinds),
+f AS (SELECT document_id, rn, kind, level, text, length(text) AS size, 0 AS position FROM l WHERE rn = 1
+UNION ALL SELECT l.document_id, l.rn, l.kind, l.level, l.text, CASE WHEN j.j THEN f.size + 1 + length(l.text) ELSE length(l.text) END, CASE WHEN j.j THEN f.position ELSE f.position + 1 END
+FROM f JOIN l ON l.document_id = f.document_id AND l.rn = f.rn + 1, LATERAL (SELECT f.level IS NULL AND l.level IS NULL AND f.kind = l.kind AND (f.size + length(l.text) <= 1200
+OR (f.size + length(l.text) <= 2400 AND NOT regexp_matches(f.text, '[。！？；;….]$'))) AS j) j),
+b AS (SELECT document_id, position, min(kind) AS block_type, min(level) AS level, string_agg(text, chr(10) ORDER BY rn) AS text FROM f GROUP BY document_id, position)"""
+_BEFORE = "OVER (PARTITION BY document_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_LAST = ", ".join(f"max(CASE WHEN level = {k} THEN position END) {_BEFORE} AS p{k}, last_value(CASE WHEN level = {k} THEN text END IGNORE NULLS) {_BEFORE} AS t{k}" for k in range(1, 7))
+_HIGHER = {k: f"greatest({', '.join(f'coalesce(p{j}, -1)' for j in range(1, k))}, -1)" if k > 1 else "-1" for k in range(1, 7)}
+_ABOVE = ", ".join(f"CASE WHEN p{k} > {_HIGHER[k]} AND (level IS NULL OR {k} < level) THEN t{k} END" for k in range(1, 7))
+
+
+def parsed_blocks(s: SparkSession, d: str) -> DataFrame:
+    return P.merged(P.lines(view(s, d, "text")))
+
+
+@query(f"""{BLOCKS_SQL}, p AS (SELECT *, {_LAST} FROM b)
+SELECT document_id, position, block_type, coalesce(nullif(array_to_string(list_filter([{_ABOVE}], lambda x: x IS NOT NULL), ' / '), ''), '{S.UNFILED}') AS section_path, CAST(length(text) AS INTEGER) AS n_chars FROM p""")
 def win05_merged_blocks(s: SparkSession, d: str) -> DataFrame:
-    return P.hierarchy(P.merged(P.lines(view(s, d, "text")))).select("document_id", "position", "block_type", "section_path", F.length("text").alias("n_chars"))
+    return P.hierarchy(parsed_blocks(s, d)).select("document_id", "position", "block_type", "section_path", F.length("text").alias("n_chars"))
+
+
+@query(f"""{BLOCKS_SQL} SELECT document_id, position, row_number() OVER (ORDER BY document_id, position) AS block_id FROM b""")
+def snk10_block_ids(s: SparkSession, d: str) -> DataFrame:
+    return P.with_ids(P.hierarchy(parsed_blocks(s, d))).select("document_id", "position", "block_id")
+
+
+def skip_sql(c: str) -> str:
+    t, words = trim_sql(c), "|".join(S.SKIP_WORDS)
+    return f"(length({t}) <= 2 OR regexp_matches({t}, '^({W}|[0-9\\-—.·/\\\\|，,、])+$') OR (regexp_matches({t}, '{words}') AND length({t}) < 40))"
+
+
+def classified_sql(c: str) -> str:
+    """The number of the first rule that holds, the last for plain long sentences."""
+    rules = " ".join(f"WHEN {' AND '.join(f'regexp_matches({c}, $${p}$$)' for p in patterns)} THEN {i}" for i, (_, _, patterns) in enumerate(S.RULES))
+    return f"CASE WHEN length({c}) < 4 THEN NULL {rules} WHEN length({c}) >= 8 THEN {len(S.RULES)} END"
 
 
-@query()
+def truncated_sql(c: str) -> str:
+    cut = f"substr({c}, 1, {S.MAX_STATEMENT})"
+    end = lambda x: f"length({cut}) - instr(reverse({cut}), {x}) + 1"
+    stops = " ".join(f"WHEN contains({cut}, {x}) AND {end(x)} > 1 THEN substr({cut}, 1, {end(x)})" for x in ("'。'", "'；'", "'！'", "'？'", "chr(10)", "'，'"))
+    return f"CASE WHEN length({c}) <= {S.MAX_STATEMENT} THEN {c} {stops} ELSE {cut} END"
+
+
+_KINDS = [(kind, priority) for kind, priority, _ in S.RULES] + [("rule", "P2")]
+_NUMBERING = f"^(?:[（(]{W}*[一二三四五六七八九十0-9]+{W}*[）)]|[①②③④⑤⑥⑦⑧⑨⑩]+|[0-9]+{W}*[、.．])"
+_CLEAN = trim_sql("regexp_replace(" + trim_sql(f"regexp_replace(sentence, '{_NUMBERING}', '')") + f", '({W}|[。；;])+$', '')")
+_KEY = "lower(regexp_replace(statement, '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9]', '', 'g'))"
+
+
+@query(f"""{BLOCKS_SQL}, blocks AS (SELECT document_id * 100000 + position AS block_id, text FROM b WHERE block_type <> 'title'),
+parts AS (SELECT block_id, list_filter(list_transform(regexp_split_to_array(text, '[。；;\\n]+'), lambda x: {trim_sql("x")}), lambda x: x <> '') AS parts FROM blocks WHERE NOT {skip_sql("text")}),
+sentences AS (SELECT block_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS position FROM parts),
+ruled AS (SELECT block_id, position, {classified_sql("sentence")} AS rule, {_CLEAN} AS whole FROM sentences WHERE NOT {skip_sql("sentence")}),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY block_id, whole ORDER BY position) AS r FROM ruled WHERE rule IS NOT NULL AND whole <> ''),
+found AS (SELECT block_id, position, rule, {truncated_sql("whole")} AS statement FROM firsts WHERE r = 1)
+SELECT block_id, CAST(position AS INTEGER) AS position, {[k for k, _ in _KINDS]}[rule + 1] AS eiu_type, {[p for _, p in _KINDS]}[rule + 1] AS content_priority, block_id = min(block_id) OVER (PARTITION BY {_KEY}) AS is_questionable, CAST(length(statement) AS INTEGER) AS n_chars FROM found
+UNION ALL SELECT block_id, 0, 'rule', 'P2', false, length('[排除] 无实质内容') FROM blocks WHERE block_id NOT IN (SELECT block_id FROM found)""")
 def wfl04_extraction(s: SparkSession, d: str) -> DataFrame:
-    blocks = P.merged(P.lines(view(s, d, "text"))).select((F.col("document_id") * 100_000 + F.col("position")).alias("block_id"), "block_type", F.col("text").alias("block_text"))
+    blocks = parsed_blocks(s, d).select((F.col("document_id") * 100_000 + F.col("position")).alias("block_id"), "block_type", F.col("text").alias("block_text"))
     return X.extracted(blocks).select("block_id", "position", "eiu_type", "content_priority", "is_questionable", F.length("statement").alias("n_chars"))
 
 
@@ -384,23 +457,30 @@ def top04_reuse(s: SparkSession, d: str) -> DataFrame:
     return T.best_reuse(items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "vector"), items, 0.3)
 
 
-@query()
+QUESTION = "the and that of with there"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda x: lower(x))) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY doc_id, token),
+s AS (SELECT doc_id, sum(CASE WHEN list_contains(string_split('{QUESTION}', ' '), token) THEN n END) AS shared, count(CASE WHEN list_contains(string_split('{QUESTION}', ' '), token) THEN 1 END) AS overlap, sqrt(sum(n * n)) AS norm FROM n GROUP BY doc_id)
+SELECT doc_id AS block_id, coalesce(round(coalesce(shared / (norm * sqrt(6.0)), 0.0) + overlap * 0.1, 4), 0.0) AS score FROM documents LEFT JOIN s USING (doc_id)""")
 def top05_lexical(s: SparkSession, d: str) -> DataFrame:
     blocks = view(s, d, "text").select(F.col("document_id").alias("block_id"), F.col("text").alias("block_text"))
-    return T.lexical("the and that of with there", blocks).select("block_id", "score")
+    return T.lexical(QUESTION, blocks).select("block_id", "score")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT vec_id AS item_id, label AS grp, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+g AS (SELECT grp, rn, item_id, true AS kept, [v] AS held FROM o WHERE rn = 1
+UNION ALL SELECT o.grp, o.rn, o.item_id, NOT h.hit, CASE WHEN h.hit THEN g.held ELSE list_append(g.held, o.v) END FROM g JOIN o ON o.grp = g.grp AND o.rn = g.rn + 1,
+LATERAL (SELECT len(list_filter(g.held, lambda x: list_inner_product(x, o.v) >= 0.4)) > 0 AS hit) h) SELECT item_id, kept FROM g""")
 def win07_greedy_dedup(s: SparkSession, d: str) -> DataFrame:
-    from assaymill.plans.session import checkpoints
-
-    checkpoints(s)
     return X.greedy_dedup(view(s, d, "vector"), threshold=0.4)
 
 
-SAMPLES = """, samples AS (SELECT 'doc_' || CAST(case_id AS STRING) AS case_uid, 'doc_generated' AS source, NULL AS dimension, 7 AS ref FROM v_case WHERE review_status = 'quality_verified'
-UNION ALL SELECT 'up_' || CAST(case_id AS STRING), 'uploaded', dimension, set_id FROM v_upload UNION ALL SELECT 'pub_' || CAST(case_id AS STRING), 'public', dimension, set_id FROM v_public),
+SAMPLES = """, samples AS (SELECT 'doc_' || CAST(case_id AS STRING) AS case_uid, 'doc_generated' AS source, question, gold_answer, difficulty, CAST(NULL AS STRING) AS dimension, 7 AS ref FROM v_case WHERE review_status = 'quality_verified'
+UNION ALL SELECT 'up_' || CAST(case_id AS STRING), 'uploaded', q, a, NULL, dimension, set_id FROM v_upload UNION ALL SELECT 'pub_' || CAST(case_id AS STRING), 'public', q, a, NULL, dimension, set_id FROM v_public),
 items AS (SELECT * FROM (VALUES (1, 'doc_generated', 7, NULL), (2, 'uploaded', 1, 'user'), (3, 'uploaded', 2, NULL), (4, 'public', 0, 'even')) t(item_pos, source, ref, dim)) """
+SAMPLE = ["case_uid", "source", "question", "gold_answer", "difficulty", "dimension"]
+_SAMPLE = ", ".join(f"s.{c}" for c in SAMPLE)
 
 
 def composition(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -410,19 +490,20 @@ def composition(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return items, U.samples(native, view(s, d, "upload"), view(s, d, "public"))
 
 
-@query(SAMPLES + """SELECT i.item_pos, s.case_uid, s.source FROM items j JOIN samples s ON s.source = j.source AND s.ref = j.ref JOIN items i ON i.source = s.source WHERE i.dim IS NULL OR i.dim = s.dimension""", "case", "upload", "public")
+@query(SAMPLES + f"""SELECT i.item_pos, {_SAMPLE} FROM items j JOIN samples s ON s.source = j.source AND s.ref = j.ref JOIN items i ON i.source = s.source WHERE i.dim IS NULL OR i.dim = s.dimension""", "case", "upload", "public")
 def jn14_composition(s: SparkSession, d: str) -> DataFrame:
-    return U.composed(*composition(s, d)).select("item_pos", "case_uid", "source")
+    return U.composed(*composition(s, d)).select("item_pos", *SAMPLE)
 
 
-@query(SAMPLES + """SELECT i.item_pos, s.case_uid, s.source FROM items i JOIN samples s ON s.source = i.source AND s.ref = i.ref WHERE i.dim IS NULL OR i.dim = s.dimension""", "case", "upload", "public")
+@query(SAMPLES + f"""SELECT i.item_pos, {_SAMPLE} FROM items i JOIN samples s ON s.source = i.source AND s.ref = i.ref WHERE i.dim IS NULL OR i.dim = s.dimension""", "case", "upload", "public")
 def jn14_distinct_composition(s: SparkSession, d: str) -> DataFrame:
-    return U.composed(*composition(s, d), distinct_sets=True).select("item_pos", "case_uid", "source")
+    return U.composed(*composition(s, d), distinct_sets=True).select("item_pos", *SAMPLE)
 
 
-@query("""SELECT case_uid FROM (SELECT 'doc_' || CAST(case_id AS STRING) AS case_uid FROM v_case UNION ALL SELECT 'up_' || CAST(case_id AS STRING) FROM v_upload UNION ALL SELECT 'pub_' || CAST(case_id AS STRING) FROM v_public)""", "case", "upload", "public")
+@query("""SELECT 'doc_' || CAST(case_id AS STRING) AS case_uid, 'doc_generated' AS source, question, gold_answer, difficulty, CAST(NULL AS STRING) AS dimension FROM v_case
+UNION ALL SELECT 'up_' || CAST(case_id AS STRING), 'uploaded', q, a, NULL, dimension FROM v_upload UNION ALL SELECT 'pub_' || CAST(case_id AS STRING), 'public', q, a, NULL, dimension FROM v_public""", "case", "upload", "public")
 def set01_union_all(s: SparkSession, d: str) -> DataFrame:
-    return U.samples(view(s, d, "case").withColumn("version_id", F.lit(7)), view(s, d, "upload"), view(s, d, "public")).select("case_uid")
+    return U.samples(view(s, d, "case").withColumn("version_id", F.lit(7)), view(s, d, "upload"), view(s, d, "public")).select(*SAMPLE)
 
 
 FOLDERS = """WITH RECURSIVE folders AS (SELECT CAST(r_regionkey AS BIGINT) AS folder_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS name FROM region
@@ -488,8 +569,15 @@ def snk12_patches(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT eiu_id FROM v_eiu WHERE block_id NOT IN (SELECT block_id FROM v_block WHERE document_id = 4)", "eiu", "block")
 def snk15_cascade_delete(s: SparkSession, d: str) -> DataFrame:
     eiu, blocks = view(s, d, "eiu"), view(s, d, "block")
-    none = s.createDataFrame([], "case_id long, document_id long")
-    return C.without_document(4, view(s, d, "document"), blocks, eiu, none, none)[2].select("eiu_id")
+    tables = view(s, d, "document"), blocks, eiu, view(s, d, "case"), checks(s, d)
+    return C.without_document(4, *tables)[2].select("eiu_id")
+
+
+@query("SELECT 'cases' AS kind, case_id FROM v_case WHERE document_id <> 4 UNION ALL SELECT DISTINCT 'checks', case_id FROM v_checks WHERE case_id NOT IN (SELECT case_id FROM v_case WHERE document_id = 4)", "case", "checks")
+def snk15_cascade_cases(s: SparkSession, d: str) -> DataFrame:
+    tables = view(s, d, "document"), view(s, d, "block"), view(s, d, "eiu"), view(s, d, "case"), checks(s, d)
+    _, _, _, cases, left = C.without_document(4, *tables)
+    return cases.select(F.lit("cases").alias("kind"), "case_id").unionByName(left.select(F.lit("checks").alias("kind"), "case_id").distinct())
 
 
 @query("""SELECT block_id, statement, CASE content_priority WHEN 'P0' THEN 5 WHEN 'P1' THEN 3 ELSE 1 END AS weight, document_id, NOT is_questionable AND exclusion_reason IS NULL AS refused FROM (
@@ -499,19 +587,19 @@ def snk11_inserted_statements(s: SparkSession, d: str) -> DataFrame:
     return C.inserted_statements(items, view(s, d, "block")).select("block_id", "statement", "weight", "document_id", F.col("problem").isNotNull().alias("refused"))
 
 
-@query("SELECT case_id, row_number() OVER (ORDER BY case_id) AS new_id FROM v_case", "case")
+@query("SELECT case_id, eiu_id, question, gold_answer, row_number() OVER (ORDER BY case_id) AS new_id FROM v_case", "case")
 def snk09_numbered(s: SparkSession, d: str) -> DataFrame:
-    return C.numbered(view(s, d, "case").select("case_id"), "new_id", F.col("case_id"))
+    return C.numbered(view(s, d, "case").select("case_id", "eiu_id", "question", "gold_answer"), "new_id", F.col("case_id"))
 
 
 @query("""SELECT document_id, max(CASE WHEN r = 1 THEN case_id END) AS latest_case FROM (SELECT document_id, case_id, row_number() OVER (PARTITION BY document_id ORDER BY case_id DESC) AS r FROM v_case) GROUP BY document_id""", "case")
 def top07_latest(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "case").groupBy("document_id").agg(F.max_by("case_id", "case_id").alias("latest_case"))
+    return L.latest_of(view(s, d, "case"), "document_id", "case_id").withColumnRenamed("case_id", "latest_case")
 
 
 @query("SELECT document_id, CAST(count(DISTINCT c.eiu_id) AS BIGINT) AS statements, CAST(count(*) AS BIGINT) AS cases FROM v_case c WHERE review_status <> 'retired' GROUP BY document_id", "case")
 def jn16_per_document(s: SparkSession, d: str) -> DataFrame:
-    return C.filter_cases(view(s, d, "case")).groupBy("document_id").agg(F.countDistinct("eiu_id").alias("statements"), F.count(F.lit(1)).alias("cases"))
+    return L.cases_by_document(C.filter_cases(view(s, d, "case")))
 
 
 @query("""SELECT conv_id, turn AS last_turn, text AS q FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1""")
@@ -525,15 +613,5 @@ def prj08_final_turn(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT eiu_id, first_block FROM (SELECT eiu_id, CASE WHEN EXISTS (SELECT 1 FROM v_block b WHERE b.block_id = e.block_id AND b.block_type <> 'title') THEN block_id ELSE block_id + 1 END AS first_block FROM v_eiu e) WHERE first_block IN (SELECT block_id FROM v_block)", "eiu", "block")
 def win03_source_block(s: SparkSession, d: str) -> DataFrame:
     """The first evidence block that exists and is no title, else the next one."""
-    blocks = view(s, d, "block").select(F.col("block_id").alias("b"))
-    usable = view(s, d, "block").where("block_type <> 'title'").select(F.col("block_id").alias("b"), F.lit(True).alias("ok"))
-    pos = view(s, d, "eiu").select("eiu_id", F.posexplode(F.array("block_id", F.col("block_id") + 1)).alias("pos", "b"))
-    hit = pos.join(blocks, "b", "left_semi").join(usable, "b", "left").where("ok OR pos = 1")
-    return hit.groupBy("eiu_id").agg(F.min_by("b", "pos").alias("first_block"))
-
-
-def rank_of(df: DataFrame, key: str, *order) -> DataFrame:
-    return df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-
-
-PASS = S.PASS_SCORE
+    listed = view(s, d, "eiu").select("eiu_id", F.array("block_id", F.col("block_id") + 1).alias("evidence_blocks"))
+    return G.usable_source(listed, view(s, d, "block")).withColumnRenamed("block_id", "first_block")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Used only in local mode, where the driver and the tasks are one machine and no folder is named.
+LOCAL_DIR = "/tmp/checkpoints"
+
 
 def checkpoints(spark: SparkSession) -> None:
     """The folder that the cluster names for checkpoints; where none is named, a fixed one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(named or LOCAL_DIR)

@@ -33,13 +33,13 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN l_discount > 0.05 THEN 'single' ELSE '' END AS scope", "CAST(NULL AS STRING) AS review_tag",
     ]),
     "result": ("events", [
-        "event_id AS result_id", "user_id AS run_id", "CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS dimension", "value AS latency_ms", f"{_K} AS k",
+        "event_id AS result_id", "user_id AS run_id", "CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS dimension", "value AS latency_ms", f"{_K} AS k", f"{_K} AS tokens", f"CAST({_K} AS DOUBLE) / 8 AS cost",
         f"CASE WHEN {_K} % 3 = 0 THEN NULL ELSE 'L' || CAST({_K} % 3 AS STRING) END AS difficulty", f"CASE WHEN {_K} % 11 = 0 THEN 'timeout' END AS error",
         f"CASE WHEN {_K} % 13 = 0 THEN '' ELSE 'Ans ' || CAST({_K} % 4 AS STRING) END AS gold_answer", f"CASE WHEN {_K} % 17 = 0 THEN '' ELSE 'aNS' || CAST({_K} % 3 AS STRING) END AS answer",
         f"CASE {_K} % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 2 END AS n_retrieved",
     ]),
     "upload": ("conversations", [
-        "conv_id * 1000 + turn AS case_id", "conv_id % 7 AS set_id", "CASE WHEN role = 'user' THEN substr(text, 1, 12) ELSE '' END AS q", "CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS a",
+        "conv_id * 1000 + turn AS case_id", "conv_id % 7 AS set_id", "CASE WHEN role = 'user' THEN text ELSE '' END AS q", "CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS a",
         "CASE WHEN role = 'system' THEN NULL ELSE role END AS dimension", "CASE WHEN turn % 2 = 0 THEN text END AS evidence",
     ]),
     "public": ("benchmark", ["item_id AS case_id", "item_id % 3 AS set_id", "text AS q", "CAST(item_id AS STRING) AS a", "CASE item_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS dimension"]),

@@ -71,3 +71,20 @@ ADVICE = {
 }
 NO_ADVICE = "建议人工复核该失败样本"
 HARD_TYPES = ["threshold", "definition", "rule", "prohibition", "exception"]
+
+# Settings that are never stored, and what stands for absent texts.
+SECRETS = ["api_key"]
+DASH, JOINT, NO_SECTION, NO_STATUS, UNREVIEWED, NO_REASON = "—", "；", "（无章节）", "未解析", "待审核", "未说明排除原因"
+STATUS_LABELS = {"completed": "已解析", "failed": "解析失败", "parsing": "解析中", "pending": "待解析"}
+DIFFICULTY_LABELS = {"L1": "简单", "L2": "中等", "L3": "难", "L4": "难"}
+REVIEW_LABELS = {"quality_verified": "已通过", "approved": "已通过", "rejected": "已驳回", "blocked": "已阻断"}
+TYPE_LABELS = {"rule": "规则", "constraint": "约束", "definition": "定义", "process": "流程"}
+PRIORITY_LABELS = {"P1": "必须覆盖", "P2": "建议覆盖", "P3": "可选覆盖"}
+PURPOSE_LABELS = {"basic": "基础问题", "gen": "泛化问题"}
+QA_HEADER = ["问题", "答案", "难度", "证据", "来源文档"]
+CSV_COLUMNS = ["case_id", "question", "gold_answer", "type", "scope", "difficulty", "content_priority", "review_status"]
+CONSTRAINT_KEYS = ["subject", "condition", "scope", "period", "currency", "unit"]
+
+# Limits of requests.
+MAX_CONSTRAINT_BYTES, MAX_REASON, LEAST_ANSWER, PAGER = 16 * 1024, 128, 8, 15
+MAX_PDF_PAGES, MAX_DOCX_ELEMENTS = 500, 200_000

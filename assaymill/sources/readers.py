@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+import zipfile
 from collections.abc import Callable, Iterator
+from importlib.util import find_spec
 from pathlib import PurePosixPath
+from statistics import median
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
@@ -99,28 +104,108 @@ def tabular_blocks(found: DataFrame) -> DataFrame:
     return found.where(F.col("suffix").isin(list(TABLES))).select("path", "content").mapInPandas(go, BLOCK)
 
 
-def docx_level(style: str, text: str) -> int | None:
-    """Level of a paragraph: that of its heading style, else by the chapter words that it starts with."""
-    import re
+#: A paragraph, table row or page block of a document, before its kind is decided.
+PART = "path string, position int, page_no int, style string, text string, largest double, body double, bold boolean"
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def read_docx(raw: bytes) -> Iterator[tuple]:
+    """Paragraphs with their styles' names, then the rows of all tables with the style ``table_row``."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
+        styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else []
+    # names of headings are stored in lower case
+    names = {s.get(f"{WORD}styleId"): re.sub("^heading", "Heading", n.get(f"{WORD}val")) for s in styles if (n := s.find(f"{WORD}name")) is not None}
+    text = lambda node: "".join({f"{WORD}t": t.text or "", f"{WORD}tab": "\t", f"{WORD}br": "\n"}.get(t.tag, "") for t in node.iter())
+    paragraphs, tables = body.findall(f"{WORD}p"), body.findall(f"{WORD}tbl")
+    rows = [[" ".join(filter(None, map(str.strip, map(text, cell.iter(f"{WORD}p"))))) for cell in row.findall(f"{WORD}tc")] for t in tables for row in t.findall(f"{WORD}tr")]
+    if len(paragraphs) + sum(map(len, rows)) > S.MAX_DOCX_ELEMENTS:
+        raise ValueError("the document has too many paragraphs or cells")
+    for p in paragraphs:
+        style = p.find(f"{WORD}pPr/{WORD}pStyle")
+        yield None, names.get(style.get(f"{WORD}val"), "") if style is not None else "", text(p).strip(), None, None, None
+    for cells in rows:
+        if any(cells):
+            yield None, "table_row", " | ".join(cells), None, None, None
+
+
+def read_pdf(raw: bytes) -> Iterator[tuple]:
+    """Blocks of each page with their largest letters, the page's middle size, and whether any part is bold."""
+    import fitz  # optional
+
+    with fitz.open(stream=raw, filetype="pdf") as doc:
+        if doc.page_count > S.MAX_PDF_PAGES:
+            raise ValueError("the document has too many pages")
+        for number, page in enumerate(doc, 1):
+            blocks = [[s for line in b["lines"] for s in line["spans"]] for b in page.get_text("dict")["blocks"] if b.get("type") == 0]
+            body = median([s["size"] for b in blocks for s in b] or [11.0])
+            for spans in blocks:
+                text = "".join(s["text"] for s in spans).strip()
+                yield number, "", text, max((s["size"] for s in spans), default=0.0), body, any(s.get("flags", 0) & 16 for s in spans)
+
+
+DECODERS: dict[str, Callable[[bytes], Iterator[tuple]]] = {".docx": read_docx, ".pdf": read_pdf}
+
+
+def decoded_parts(found: DataFrame) -> DataFrame:
+    """The parts of DOCX and PDF files that aren't empty; a file whose decoder isn't installed ends the job with an error."""
 
-    if m := re.match(r"Heading (\d+)", style):
-        return int(m[1])
-    # Chapter words and their levels.
-    for level, pattern in ((1, r"^第[一二三四五六七八九十百\d]+章"), (2, r"^第[一二三四五六七八九十百\d]+(?:节|部分)|^附[件录]"), (3, r"^第[一二三四五六七八九十百\d]+条")):
-        if re.match(pattern, text):
-            return level
-    return None
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b.path, b.content, strict=True):
+                parts = [x for x in DECODERS[PurePosixPath(path).suffix.lower()](content) if x[2]]
+                yield pd.DataFrame([(path, i, *x) for i, x in enumerate(parts)], columns=[x.split()[0] for x in PART.split(", ")]).astype({"page_no": "Int32"})
+
+    return found.where(F.col("suffix").isin(list(DECODERS))).select("path", "content").mapInPandas(go, PART)
+
+
+def docx_level(style: Column, text: Column) -> Column:
+    """Level of a paragraph: that of its heading style, else by the chapter words that it starts with."""
+    # Chapter words and their levels, in the order in which they are tried.
+    number = "[一二三四五六七八九十百千零两]+"
+    patterns = [(f"^第{number}\\s*章", 1), (f"^第{number}\\s*[节部分]", 2), (f"^第{number}\\s*条", 3), ("^(?:附件|附录)", 2)]
+    heading = F.regexp_extract(style, r"^Heading\s+(\d+)", 1)
+    out = F.when(style == "table_row", None).when(heading != "", heading.try_cast("int"))
+    for pattern, level in patterns:
+        out = out.when(text.rlike(pattern), F.lit(level))
+    return out
+
+
+def pdf_level(largest: Column, body: Column, bold: Column, text: Column) -> Column:
+    """Level of a block whose letters are a fifth larger than the page's, or bold and short; null for plain text."""
+    ratio = F.try_divide(largest, body)
+    title = (ratio >= 1.2) | (bold & (F.length(text) < 40))
+    return F.when(title, F.when(ratio >= 1.6, 1).when(ratio >= 1.3, 2).otherwise(3))
+
+
+def document_blocks(found: DataFrame) -> DataFrame:
+    """Blocks of DOCX and PDF files, merged and under their headings like those of texts."""
+    parts = decoded_parts(found)
+    level = F.when(F.col("body").isNotNull(), pdf_level(F.col("largest"), F.col("body"), F.col("bold"), F.col("text"))).otherwise(docx_level(F.col("style"), F.col("text")))
+    kind = F.when(F.col("style") == "table_row", "table_row").when(level.isNotNull(), "title").otherwise("paragraph")
+    none = F.lit(None).cast("long")
+    lines_ = parts.select(F.col("path").alias("document_id"), F.col("position").alias("line_no"), kind.alias("block_type"), level.cast("int").alias("level"), "text", none.alias("start"), none.alias("end"))
+    pages = parts.select("path", F.col("position").alias("line_no"), "page_no")
+    # a merged block keeps the page of its first part
+    out = hierarchy(merged(lines_, keep_line=True)).join(pages.withColumnRenamed("path", "document_id"), ["document_id", "line_no"], "left")
+    text = F.lit(None).cast("string")
+    return out.select(
+        F.col("document_id").alias("path"), "position", "section_path", "block_type", F.col("text").alias("block_text"), "parent_position", "page_no", "start", "end",
+        text.alias("question"), text.alias("answer"),
+    )
 
 
-def pdf_level(largest: float, body: float) -> int:
-    ratio = largest / body if body else 1.0
-    return 1 if ratio >= 1.6 else 2 if ratio >= 1.3 else 3
+def undecodable(found: DataFrame) -> DataFrame:
+    """(path, reason) of accepted files whose decoder isn't installed here, to be left out before parsing."""
+    missing = [suffix for suffix, module in ((".pdf", "fitz"), (".xlsx", "openpyxl")) if find_spec(module) is None]
+    return found.where(F.col("suffix").isin(missing)).select("path", F.lit("no decoder").alias("reason"))
 
 
-def parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all text and table files under a path, in one shape."""
+def parsed(spark: SparkSession, path: str, skip_undecodable: bool = False) -> DataFrame:
+    """Blocks of all accepted files under a path, in one shape. Files without a decoder end the job, or are left out if asked."""
     found = files(spark, path)
-    return text_blocks(texts(found)).unionByName(tabular_blocks(found))
+    found = found.join(undecodable(found).select("path"), "path", "left_anti") if skip_undecodable else found
+    return text_blocks(texts(found)).unionByName(tabular_blocks(found)).unionByName(document_blocks(found))
 
 
 def qa_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
