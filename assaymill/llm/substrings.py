@@ -4,10 +4,9 @@ Every SPAN-byte string chooses an anchor: the GRAM-byte string inside it with th
 choose equal anchors at equal places, so only strings of one anchor need comparing, and most anchors of a
 corpus occur once. An anchor's stretch holds all strings that chose it. Three passes over the texts:
 count the anchors; compare the stretches of repeated anchors by digest (stretches that occur again are
-covered whole); and sort what is left, the groups with stretches that occur once among others, by a
-two-stage suffix array, where neighbours with a common prefix of SPAN bytes are repeats. Groups of more
-than HOT different stretches are compared string by string by 128-bit digests instead, so that no task
-holds a group. Filters between the passes are bit tables of bounded size: a false hit costs a comparison.
+covered whole); and sort one of each kind of the rest, the groups with stretches that occur once among others,
+by a two-stage suffix array, where neighbours with a common prefix of SPAN bytes are repeats. Groups of more
+than HOT kinds are compared string by string by 128-bit digests instead, so that no task holds a group. Filters between the passes are bit tables of bounded size: a false hit costs a comparison.
 
 Null and empty texts have nothing to remove; texts shorter than SPAN keep all bytes; copies of a text are
 one class and, from SPAN bytes on, wholly removed; periodic texts repeat within themselves; repeated rows
@@ -26,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import INVERSE, NUMBERS, mixed, powers, rolling
-from .common import ready, spread, stored, whole_text
+from .common import ready, small_or_joined, spread, stored, whole_text
+from .filters import OTHER, Filter, filter_of
 from .quality import pieces
 from .suffixes import common_prefixes, suffix_array
 
@@ -34,12 +34,8 @@ SPAN, GRAM = 200, 50
 WIDTH = SPAN - GRAM + 1
 #: Stretches of a group that are sorted together, bytes that are sorted at once, and ids that are broadcast at most.
 HOT, AT_ONCE, IDS_AT_ONCE = 4096, 1_000_000, 2_000_000
-#: Bits of a filter: so many for each entry, up to a bound.
-BITS_EACH, MOST_BITS = 16, 1 << 28
-CHUNK = 1 << 20
 PLACE = np.uint64((1 << 26) - 1)
 EMPTY = hashlib.sha256(b"").hexdigest()
-OTHER = 0xD1B54A32D192ED03
 
 
 def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,58 +65,6 @@ def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[lo], lo, hi, h[anchor], mixed(text ^ shape)
 
 
-class Filter:
-    """A table of bits with two hashes an entry."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    @staticmethod
-    def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mixed(hashes ^ np.uint64(OTHER))
-        return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = self.places(hashes, 8 * len(self.bits))
-        get = lambda i: (self.bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1
-        return (get(a) & get(b)).astype(bool)
-
-
-def filter_of(hashes: DataFrame) -> Broadcast:
-    """A filter of a column of hashes, built in chunks by tasks; its size is bounded whatever their number."""
-    count = hashes.count()
-    size = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * count).bit_length()))
-    name = hashes.columns[0]
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for b in batches:
-            for places in Filter.places(b.column(0).to_numpy().view(np.uint64), size):
-                bits[places] = True
-        packed = np.packbits(bits, bitorder="little")
-        for i in range(0, len(packed), CHUNK // 8):
-            some = packed[i : i + CHUNK // 8]
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([some.tobytes()], pa.binary())], names=["at", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(raw, np.uint8)
-                made[i] = made[i] | got if i in made else got
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(list(made)), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["at", "bits"])
-
-    schema, spark = "at long, bits binary", hashes.sparkSession
-    tasks = max(1, min(16, count // 100_000))
-    marked = hashes.select(name).coalesce(tasks).mapInArrow(mark, schema)
-    bits = np.zeros(size // 8, np.uint8)
-    for r in marked.repartition(tasks, "at").mapInArrow(merge, schema).collect():  # size / 8 bytes at most
-        bits[r["at"] : r["at"] + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
-    return spark.sparkContext.broadcast(bits)
-
-
 def anchors(texts: DataFrame) -> DataFrame:
     """(anchor, n) of what occurs again, summed over each batch before the shuffle."""
 
@@ -134,7 +78,7 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, repeated: Broadcast) -> DataFrame:
-    """(key, lo, hi, anchor, digest) of the stretches of anchors in the filter."""
+    """(key, lo, hi, anchor, digest, place) of the stretches of anchors in the filter; the place is a hash of key and start."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(repeated.value)
@@ -145,24 +89,36 @@ def occurrences(texts: DataFrame, repeated: Broadcast) -> DataFrame:
                 on = np.flatnonzero(known.has(anchor))
                 base = at[doc[on]]
                 columns = [b.column(0).take(pa.array(doc[on] + row)), *map(pa.array, (lo[on] - base, hi[on] - base, anchor[on].view(np.int64), digest[on].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "lo", "hi", "anchor", "digest"])
+                spot = place(b.column(0), doc[on] + row, lo[on] - base)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spot.view(np.int64))], names=["key", "lo", "hi", "anchor", "digest", "place"])
                 row += len(at) - 1
 
-    return stored(texts.mapInArrow(go, "key binary, lo long, hi long, anchor long, digest long"), "stretches")
+    return stored(texts.mapInArrow(go, "key binary, lo long, hi long, anchor long, digest long, place long"), "stretches")
+
 
+def place(keys: pa.Array, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the text's key, 16 bytes, and a start in it."""
+    _, offsets, data = keys.buffers()
+    at = np.frombuffer(offsets, np.int32, len(keys) + 1, 4 * keys.offset)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if len(keys) else np.empty(0, np.uint8)
+    first = np.ascontiguousarray(raw.reshape(-1, 16)[:, :8]).view("<u8").ravel()
+    return mixed(first[rows] ^ (starts.astype(np.uint64) * np.uint64(OTHER)))
 
-def sorted_repeats(texts: DataFrame, groups: Broadcast) -> DataFrame:
-    """(key, lo, hi): starts of strings that occur again, by suffix sorting of the stretches of the groups in the filter."""
+
+def sorted_repeats(texts: DataFrame, chosen: Broadcast, groups: DataFrame) -> DataFrame:
+    """(key, lo, hi): starts of strings that occur again, by suffix sorting of one of each kind of the groups' stretches.
+
+    ``chosen`` is a filter of the places of these; what it lets through besides goes where it isn't of the groups.
+    """
     spark = texts.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(groups.value)
+        known = Filter(chosen.value)
         for b in batches:
             row = 0
             for raw, at in pieces(b.column(1)):
                 doc, lo, hi, anchor, digest = stretches(raw, at)
-                on = np.flatnonzero(known.has(anchor))
-                on = on[np.unique(digest[on], return_index=True)[1]]  # of equal stretches one is enough to compare with
+                on = np.flatnonzero(known.has(place(b.column(0), doc + row, lo - at[doc]))) if len(doc) else doc
                 base, whole = at[doc[on]], raw.tobytes()
                 cuts = [whole[i : j + SPAN] for i, j in zip(lo[on].tolist(), hi[on].tolist(), strict=True)]
                 columns = [b.column(0).take(pa.array(doc[on] + row)), *map(pa.array, (lo[on] - base, hi[on] - base, anchor[on].view(np.int64), digest[on].view(np.int64))), pa.array(cuts, pa.binary())]
@@ -184,7 +140,8 @@ def sorted_repeats(texts: DataFrame, groups: Broadcast) -> DataFrame:
             yield repeats(rows)
 
     schema = "key binary, lo long, hi long, anchor long, digest long, bytes binary"
-    dealt = texts.mapInArrow(cut, schema).repartition(spread(spark), "anchor").sortWithinPartitions("anchor", "digest")
+    exact = texts.mapInArrow(cut, schema).join(small_or_joined(groups), "anchor", "left_semi")
+    dealt = exact.repartition(spread(spark), "anchor").sortWithinPartitions("anchor", "digest").select([x.split()[0] for x in schema.split(", ")])
     return dealt.mapInArrow(sort, "key binary, lo long, hi long")
 
 
@@ -284,11 +241,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = among(keyed.where(F.octet_length("text") >= SPAN).select("key", "text", mark), "mark", stored(copies.select("mark"), "copies"), "left_anti").select("key", "text")
 
     found = occurrences(texts, filter_of(stored(anchors(texts), "anchors")))
-    digests = stored(found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")), "digests")
+    digests = stored(found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")), "digests")
     whole = found.join(digests.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("key", "lo", "hi")
     groups = stored(digests.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1"), "groups")
     cold, hot = (groups.where(c).select("anchor") for c in (f"kinds <= {HOT}", f"kinds > {HOT}"))
-    repeated = whole.unionByName(sorted_repeats(texts, filter_of(cold)))
+    one_of_each = digests.join(small_or_joined(cold), "anchor", "left_semi").select("place")
+    repeated = whole.unionByName(sorted_repeats(texts, filter_of(one_of_each), cold))
     if not hot.isEmpty():
         repeated = repeated.unionByName(hot_repeats(texts, filter_of(hot)))
     spans = stored(repeated.join(copied.select("key"), "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts")), "repeats")
