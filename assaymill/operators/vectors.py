@@ -89,6 +89,8 @@ def encoded(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]] |
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
         some = texts[texts.notna()]
+        if not len(some):
+            return pd.Series([None] * len(texts), texts.index, dtype=object)
         made = np.array(encoder([prefix + t for t in some]), float).reshape(len(some), -1)
         norm = np.sqrt((made * made).sum(1, keepdims=True))
         return pd.Series([*(made / np.where(norm == 0, 1, norm)).astype("float32")], some.index, dtype=object).reindex(texts.index)

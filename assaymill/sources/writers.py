@@ -43,8 +43,12 @@ def csv_lines(rows: DataFrame, header: list[str] | None = None, quote_all: bool
     head = "\ufeff" + ",".join('"' + n.replace('"', '""') + '"' if quote_all else n for n in names)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
-        yield from batches
+        first = next(batches, None)
+        schema = pa.schema([("value", pa.string())]) if first is None else first.schema
+        yield pa.RecordBatch.from_arrays([pa.array([head], schema[0].type)], schema=schema)
+        if first is not None:
+            yield first
+            yield from batches
 
     return lines.mapInArrow(go, "value string")
 

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from assaymill.plans import queries as plans
+from assaymill.plans import workflow_queries
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,12 +1,14 @@
 """Text rules, parsing folds, sources and workflow operators on hand-made rows."""
 
 import re
+import zipfile
+from importlib.util import find_spec
 
 import pytest
 from pyspark.sql import functions as F
 
 from assaymill.functions import scoring, text
-from assaymill.operators import adapters, cases, coverage, evalsets, extraction, folders, generation, ingest, parsing, quality
+from assaymill.operators import adapters, cases, coverage, evalsets, extraction, folders, generation, ingest, parsing, quality, vectors
 from assaymill.sources import readers, writers
 
 
@@ -174,6 +176,57 @@ def test_files(spark, tmp_path):
     frozen = spark.createDataFrame([(1, "u1", "q", None, None, False), (2, "u2", "q", "a", None, True)], "case_id int, case_uid string, question string, gold_answer string, evidence string, retired boolean")
     writers.write_jsonl(frozen, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"case_id":"u1","question":"q","gold_answer":null,"evidence":null}']
-    writers.write_csv(frozen.select("case_uid", "question"), str(tmp_path / "csv"))
-    raw = next((tmp_path / "csv").glob("*.csv")).read_bytes()
-    assert raw.startswith(b"\xef\xbb\xbf") or b"\xef\xbb\xbf" in raw[:8]
+    cells = spark.createDataFrame([("a", 'say "x", y'), (None, "line\nend")], "one string, two string")
+    for quote_all, want in ((False, b'\xef\xbb\xbfone,two\r\na,"say ""x"", y"\r\n,"line\nend"\r\n'), (True, b'\xef\xbb\xbf"one","two"\r\n"a","say ""x"", y"\r\n"","line\nend"\r\n')):
+        writers.write_csv(cells.coalesce(1), str(tmp_path / f"csv{quote_all}"), quote_all=quote_all)
+        assert next((tmp_path / f"csv{quote_all}").glob("*.txt")).read_bytes() == want
+    got = [r.value for r in writers.csv_lines(cells.limit(0)).collect()]
+    assert set(got) <= {"\ufeffone,two"}
+
+
+def docx(path, paragraphs, rows):
+    """A small document in Word's format."""
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda text, style="": f'<w:p>{f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    table = "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {space}><w:body>{table}{''.join(p(*x) for x in paragraphs)}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {space}><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style></w:styles>')
+
+
+def test_documents(spark, tmp_path):
+    docx(tmp_path / "a.docx", [("第一章 总则",), ("应当还款。",), ("细则", "H2"), ("  ",), ("第三条 期限",), ("月末。",)], [["a", "b"], ["", ""], ["c", ""]])
+    got = readers.parsed(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.block_type, r.block_text, r.section_path) for r in got] == [
+        ("title", "第一章 总则", "未分类"), ("paragraph", "应当还款。", "第一章 总则"), ("title", "细则", "第一章 总则"), ("title", "第三条 期限", "第一章 总则 / 细则"),
+        ("paragraph", "月末。", "第一章 总则 / 细则 / 第三条 期限"), ("table_row", "a | b\nc | ", "第一章 总则 / 细则 / 第三条 期限"),
+    ]
+    df = spark.createDataFrame([(16.0, 10.0, False, "t"), (13.0, 10.0, False, "t"), (12.0, 10.0, False, "t"), (10.0, 10.0, True, "t"), (10.0, 10.0, True, "t" * 40), (10.0, 10.0, False, "t")], "l double, b double, bold boolean, t string")
+    assert [r[0] for r in df.select(readers.pdf_level(F.col("l"), F.col("b"), F.col("bold"), F.col("t"))).collect()] == [1, 2, 3, 3, None, None]
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4")
+    if find_spec("fitz") is None:  # a file that can't be read is never passed over in silence
+        with pytest.raises(Exception, match="fitz"):
+            readers.parsed(spark, str(tmp_path)).collect()
+        found = readers.files(spark, str(tmp_path))
+        assert [r.path.rsplit("/", 1)[1] for r in readers.undecodable(found).collect()] == ["b.pdf"]
+        assert readers.parsed(spark, str(tmp_path), skip_undecodable=True).count() == 6
+
+
+def test_numbers_are_dense_with_payload(spark):
+    n = 1_200_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("text"))
+    got = cases.numbered(rows, "i", F.col("k"))
+    row = got.agg(F.countDistinct("i"), F.min("i"), F.max("i"), F.count_if(F.col("i") != F.col("k") + 1), F.countDistinct("text")).first()
+    assert tuple(row) == (n, 1, n, 0, n)
+    ties = cases.numbered(spark.range(5000).select(F.lit(1).alias("k"), "id"), "i", F.col("k"))
+    assert ties.select("i").distinct().count() == 5000 and ties.agg(F.max("i")).first()[0] == 5000
+    assert cases.numbered(rows.limit(0), "i", F.col("k")).count() == 0
+
+
+def test_plugged_in_models(spark):
+    df = spark.createDataFrame([("a",), (None,), ("",)], "text string")
+    got = [r.embedding for r in vectors.encoded(df, lambda ts: [[3.0 * len(t), 4.0 * len(t)] for t in ts]).collect()]
+    assert got[1] is None and got[2] == [0.0, 0.0] and [round(x, 4) for x in got[0]] == [0.6, 0.8]
+    assert [r.embedding for r in vectors.encoded(df, None).collect()] == [None] * 3
+    with pytest.raises(ValueError, match="mode"):
+        generation.wanted(df, df.withColumn("is_questionable", F.lit(True)), "other")
