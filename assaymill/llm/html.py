@@ -32,10 +32,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template iframe object svg math head textarea".split())
+FOREIGN = frozenset(("svg", "math"))
 #: Open tags that a new tag of the second kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P = BLOCKS - {"button", "option", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "title", "legend"}
-PARTS = frozenset("nav header footer aside form article main section body".split())
+PARTS = frozenset("nav header footer aside form article main body".split())  # a section says nothing by itself
 NAMES = {w: kind for kind, words in {**AWAY, "main": MAIN}.items() for w in words}
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: Of generated pages and passes over them.
@@ -92,7 +93,9 @@ class Blocks(HTMLParser):
         self.linked += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        # a slash closes only drawings and formulas and what is inside them
+        if tag not in FOREIGN and not any(t in FOREIGN for t, _ in self.open):
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:

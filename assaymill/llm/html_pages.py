@@ -76,6 +76,8 @@ def page(seed: int) -> str:
             return f"<h{(n := r.randint(2, 4))}>\x01{sentence(r, 6)}\x02</h{n}>"
         if kind < 0.83:
             return f"<p><b>\x01{p}\x02<br>"
+        if kind < 0.85:
+            return f"<figure><img src=a.png><figcaption>\x01{sentence(r)}\x02</figcaption></figure>" if r.random() < 0.5 else f"<pre>\x01{p}\x02</pre>"
         if kind < 0.9:
             return "<ul>" + "".join(f"<li>\x01{sentence(r)}\x02</li>" for _ in range(r.randint(1, 4))) + "</ul>"
         return f"<blockquote>\x01{p}\x02</blockquote>" if kind < 0.95 else f'<p>\x01{sentence(r)} <a href="/{word(r)}">{word(r)}</a> {sentence(r)}\x02</p>'
