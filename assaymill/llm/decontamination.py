@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import joined, lower, row_hashes, runs, span_hashes
-from .common import ready, small_or_joined, stored, whole_text
+from .common import kept, run_folder, small_or_joined, stored, whole_text
 from .filters import Filter, filter_of
 from .quality import pieces
 
@@ -164,8 +164,11 @@ def occurrences(docs: DataFrame, items: DataFrame, item: str, key: str, text: st
 
 def decontaminate(docs: DataFrame, items: DataFrame, item: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: words, hit words, items with occurring windows and their digest."""
-    ready(docs.sparkSession)
-    rows, hits = occurrences(docs, items.select(F.col(item).alias("item_id"), F.col("text")), "item_id", key, text)
+    with run_folder(docs.sparkSession, "decontamination"):
+        return kept(_measured(*occurrences(docs, items.select(F.col(item).alias("item_id"), F.col("text")), "item_id", key, text)), "hit-documents")
+
+
+def _measured(rows: DataFrame, hits: DataFrame) -> DataFrame:
     # the widest window at each start, then a walk over starts in order
     widest = hits.groupBy("key", "start").agg(F.max("size").alias("size")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
     state = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
@@ -182,8 +185,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, item: str = "item_id", key:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no window of any item."""
-    ready(docs.sparkSession)
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    _, hits = occurrences(plain, items.select(F.col(item).alias("item_id"), F.col("text")), "item_id", "doc_id", "text")
-    gone = stored(hits.select(F.col("key").alias("_gone")).distinct(), "contaminated-texts")
+    with run_folder(docs.sparkSession, "decontamination"):
+        _, hits = occurrences(plain, items.select(F.col(item).alias("item_id"), F.col("text")), "item_id", "doc_id", "text")
+        gone = kept(hits.select(F.col("key").alias("_gone")).distinct(), "contaminated-texts")
     return docs.join(small_or_joined(gone), text_key(docs[text]) == gone["_gone"], "left_anti").select(docs.columns)

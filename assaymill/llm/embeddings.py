@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, spread, stored
+from .common import kept, run_folder, spread, stored
 from .graph import components, forest
 
 #: Bytes of a part's vectors at most, which bounds what a task holds, and classes that a part may have at least.
@@ -334,7 +334,11 @@ def part_pairs(parts: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    ready(vectors.sparkSession)
+    with run_folder(vectors.sparkSession, "embeddings"):
+        return kept(_joined(vectors, threshold, key, vector, label), "near-vectors")
+
+
+def _joined(vectors: DataFrame, threshold: float, key: str, vector: str, label: str) -> DataFrame:
     spark, kind = vectors.sparkSession, kind_of(vectors, vector)
     rows = stored(checked(vectors, key, vector, label), "vectors")
     good = rows.where("raw IS NOT NULL")

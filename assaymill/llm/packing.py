@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, stored, whole_text
+from .common import kept, run_folder, stored, whole_text
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, k long"
@@ -117,8 +117,12 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 2, size: int =
 
     Only the count of each length, ``size`` rows at most, passes the driver, and so bounds the broadcast plan.
     """
+    with run_folder(docs.sparkSession, "packing"):
+        return kept(_packed(docs, vocab, end_id, size, key, text), "packed")
+
+
+def _packed(docs: DataFrame, vocab: str | None, end_id: int, size: int, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
-    ready(spark)
     cut = stored(pieces(docs, vocab or vocabulary(), end_id, size, key, text), "pieces")
     by_task = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

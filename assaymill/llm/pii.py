@@ -139,7 +139,8 @@ def redacted(text: str, least: float) -> str:
 def redact_pii(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", least: float = 0.5) -> DataFrame:
     """The same rows and columns with personal data replaced and the length counted anew.
 
-    Null texts stay null; texts without a span stay as they are.
+    Null texts stay null; texts without a span stay as they are; null and repeated keys are of no matter, and an
+    empty table gives no rows.
     """
     ready(docs.sparkSession)
     at, counted = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None

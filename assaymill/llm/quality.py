@@ -173,7 +173,11 @@ def score_quality(docs: DataFrame, model: Boosted, key: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, model: Boosted, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores THRESHOLD or more."""
+    """The rows, with all their columns, whose text scores THRESHOLD or more.
+
+    Null texts are scored as empty ones and stay null where they are kept; null and repeated keys are of no matter,
+    and an empty table gives no rows.
+    """
     ready(docs.sparkSession)
     at = docs.columns.index(text)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import INVERSE, NUMBERS, mixed, powers, rolling
-from .common import ready, small_or_joined, spread, stored, whole_text
+from .common import kept, run_folder, small_or_joined, spread, stored, whole_text
 from .filters import OTHER, Filter, filter_of
 from .quality import pieces
 from .suffixes import common_prefixes, suffix_array
@@ -228,7 +228,11 @@ def among(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    ready(docs.sparkSession)
+    with run_folder(docs.sparkSession, "substrings"):
+        return kept(_stripped(docs, key, text), "stripped")
+
+
+def _stripped(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = whole_text(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("sha", F.sha2("text", 256))
     short = F.substring(F.unhex("sha"), 1, 16)
     listed = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha", short.alias("key")), "texts")

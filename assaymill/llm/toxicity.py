@@ -4,7 +4,7 @@ Words are bags of their n-grams (with word edges), hashed into buckets that hold
 an unseen misspelling shares the vectors of what it has in common with known words. The vectors
 around each word are averaged and go into a softmax over two labels; a document scores as its most
 toxic stretch. Vectors and softmax are trained jointly in numpy on a bounded sample of labelled rows
-(``EACH`` of either label at most). For scoring, vectors and softmax fold into a number a bucket.
+(``EACH`` of either label at most, none above ``LONGEST`` bytes). For scoring, vectors and softmax fold into a number a bucket.
 Empty and null texts have no word and score 0; without labelled rows of both labels all score 0.
 Repeated rows and equal keys are scored each on their own; only key and text are read.
 """
@@ -23,8 +23,8 @@ from .common import ready, whole_text
 from .labelled import fold, training_rows
 from .quality import pieces
 
-#: Labelled rows of either label that may be learnt from, at most.
-EACH = 1500
+#: Labelled rows of either label that may be learnt from, and bytes of one, at most: what comes to the driver is bounded.
+EACH, LONGEST = 1500, 50_000
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
 GRAMS, BUCKETS, SIZE, WORDS = (3, 4, 5, 6), 1 << 18, 8, 5
 EDGE = 32
@@ -157,7 +157,7 @@ class SubwordSoftmax:
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> SubwordSoftmax:
-    rows = training_rows(docs, labels, "toxic", FOLDS, HELD, each).collect()  # bounded by 2 * each
+    rows = training_rows(docs, labels, "toxic", FOLDS, HELD, each, LONGEST).collect()  # 2 * each texts of LONGEST bytes at most
     rows.sort(key=lambda r: (r._key, r.label, r.text))
     return SubwordSoftmax.fit([r.text for r in rows], [r.label for r in rows])
 
