@@ -59,11 +59,11 @@ def usable_source(eiu: DataFrame, blocks: DataFrame) -> DataFrame:
 def wanted(eiu: DataFrame, cases: DataFrame, mode: str = "missing", document_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(statements to ask about, cases that stay): ``missing`` leaves statements with a live case alone, ``rebuild`` drops
     the cases of the chosen document, or all, and asks about each of its statements again."""
+    if mode not in ("missing", "rebuild"):
+        raise ValueError(f"unknown mode: {mode}")
     some = eiu.where("is_questionable") if document_id is None else eiu.where("is_questionable").where(F.col("document_id") == document_id)
     if mode == "missing":
         return some.join(cases.where(F.coalesce("review_status", F.lit("")) != "retired").select("eiu_id"), "eiu_id", "left_anti"), cases
-    if mode != "rebuild":
-        raise ValueError(f"unknown mode: {mode}")
     return some, cases.limit(0) if document_id is None else cases.where(~F.coalesce(F.col("document_id") == document_id, F.lit(False)))
 
 
