@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
+from assaymill.operators.cases import numbered, without_document
+from assaymill.sources import readers
 
 
 def rejected(files: DataFrame) -> DataFrame:
@@ -40,3 +44,43 @@ def accepted(uploads: DataFrame, documents: DataFrame) -> DataFrame:
 def replaced(blocks: DataFrame, new: DataFrame) -> DataFrame:
     """Blocks with those of the documents in ``new`` exchanged for its rows."""
     return blocks.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
+
+
+@dataclass
+class Ingested:
+    """What an upload writes: rows of its new documents and their blocks; ``refused`` says why other files aren't taken."""
+
+    documents: DataFrame
+    blocks: DataFrame
+    refused: DataFrame
+
+
+def ingested(spark: SparkSession, path: str, documents: DataFrame, first_id: int, skip_undecodable: bool = False) -> Ingested:
+    """The files under a path that are new by their content, parsed; of equal ones the first by name is taken."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = readers.files(spark, path).withColumn("file_hash", F.sha2("content", 256))
+    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("path")) == 1
+    fresh = found.join(documents.select("file_hash"), "file_hash", "left_anti").withColumn("_first", first).where("_first").drop("_first")
+    refused = rejected(raw.select("path", "length")).unionByName(
+        found.select("path").join(fresh.select("path"), "path", "left_anti").select("path", F.lit("duplicate").alias("reason"))
+    )
+    if skip_undecodable:
+        missing = readers.undecodable(fresh)
+        refused, fresh = refused.unionByName(missing), fresh.join(missing.select("path"), "path", "left_anti")
+    named = fresh.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), "suffix", "length", "file_hash")
+    rows = numbered(named, "document_id", F.col("path")).withColumn("document_id", F.col("document_id") + first_id - 1)
+    blocks = readers.blocks_of(fresh).join(rows.select("path", "document_id"), "path")
+    return Ingested(rows.withColumn("parse_status", F.lit("completed")), blocks, refused)
+
+
+def reuploaded(document_id: int, new: Ingested, documents: DataFrame, blocks: DataFrame, eiu: DataFrame, cases: DataFrame, checks: DataFrame) -> list[DataFrame]:
+    """The five tables after a document was exchanged: the new rows in, the old document and all that hangs on it out.
+
+    Frozen versions aren't touched. Where nothing new was taken, all stays as it is.
+    """
+    taken = F.broadcast(new.documents.agg((F.count(F.lit(1)) > 0).alias("_taken")))  # one row
+    left = without_document(document_id, documents, blocks, eiu, cases, checks)
+    tables = [documents, blocks, eiu, cases, checks]
+    out = [a.join(taken).where("_taken").drop("_taken").unionByName(b.join(taken).where("NOT _taken").drop("_taken")) for a, b in zip(left, tables, strict=True)]
+    add = lambda old, rows: old.unionByName(rows.select([c for c in old.columns if c in rows.columns]), allowMissingColumns=True)
+    return [add(out[0], new.documents), add(out[1], new.blocks), *out[2:]]

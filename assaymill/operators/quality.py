@@ -53,3 +53,10 @@ def regenerated(cases: DataFrame, attempts: DataFrame, checks: DataFrame, most:
     good = attempts.where(F.col("attempt") <= most).join(by_case(checks).where("passed").select("case_id"), "case_id", "left_semi")
     best = good.groupBy("origin_id").agg(F.min_by("case_id", "attempt").alias("replaced_by"))
     return cases.select("case_id").join(best.withColumnRenamed("origin_id", "case_id"), "case_id")
+
+
+def checks_of(checks: DataFrame, cases: DataFrame, document_id: int | None = None) -> DataFrame:
+    """Checks of live cases, of one document where it is given."""
+    live = cases.where(F.coalesce("review_status", F.lit("")) != "retired")
+    live = live if document_id is None else live.where(F.col("document_id") == document_id)
+    return checks.join(live.select("case_id", "document_id"), "case_id")

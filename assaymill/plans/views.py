@@ -10,6 +10,14 @@ _TYPES = "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in e
 _PRIORITY = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'P0' WHEN '2' THEN 'P1' WHEN '3' THEN 'P1' ELSE 'P2' END"
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
+#: Phrases that the rules on texts tell apart, with numbers of their own.
+_PHRASES = [
+    "'（一）贷款额度不得超过' || k || '%。'", "'1. 应当在' || k || '天内还款；'", "'详见附件' || k", "' 本办法所称企业是指符合标准' || k || '的企业 '", "k || '-' || k", "'本办法自20' || k || '年1月1日起施行'",
+    "'## Chapter ' || k", "'- item ' || k", "k || ') item'", "'某某银行在2024年人民币贷款' || k || '万元时，应付息。余额为' || k || '元；x' || k", "'{\"items\":[{\"statement\":\"s' || k || '\"}]}'",
+    "'[{\"statement\":\"t' || k || '\"},{\"statement\":\"u\"}]'", "'Plain Words ' || k || ' and_more'", "'①流程分为' || k || '步，先申请再审批后放款。；'", "'较2020年度' || k || '修订'", "''",
+]
+_PHRASE = "CASE p_partkey % 16 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_PHRASES)).replace(" k ", " CAST(p_partkey AS STRING) ").replace("THEN k ", "THEN CAST(p_partkey AS STRING) ").replace("|| k", "|| CAST(p_partkey AS STRING)") + " END"
+
 #: View: (table, expressions).
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "document": ("nation", [
@@ -43,6 +51,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN role = 'system' THEN NULL ELSE role END AS dimension", "CASE WHEN turn % 2 = 0 THEN text END AS evidence",
     ]),
     "public": ("benchmark", ["item_id AS case_id", "item_id % 3 AS set_id", "text AS q", "CAST(item_id AS STRING) AS a", "CASE item_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS dimension"]),
+    "phrase": ("part", ["CAST(p_partkey AS BIGINT) AS phrase_id", _PHRASE + " AS phrase"]),
     "vector": ("embeddings", ["vec_id AS item_id", "embedding AS vector", "label AS grp"]),
     "text": ("documents", ["doc_id AS document_id", "text", "n_chars"]),
 }

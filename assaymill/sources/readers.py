@@ -205,19 +205,30 @@ def parsed(spark: SparkSession, path: str, skip_undecodable: bool = False) -> Da
     """Blocks of all accepted files under a path, in one shape. Files without a decoder end the job, or are left out if asked."""
     found = files(spark, path)
     found = found.join(undecodable(found).select("path"), "path", "left_anti") if skip_undecodable else found
+    return blocks_of(found)
+
+
+def blocks_of(found: DataFrame) -> DataFrame:
+    """Blocks of accepted files, each by its kind."""
     return text_blocks(texts(found)).unionByName(tabular_blocks(found)).unionByName(document_blocks(found))
 
 
 def qa_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Questions and answers of an uploaded file: JSON (an array, or under ``qa`` or ``questions``), or lines split at a pipe."""
+    """(q, a, difficulty, evidence, source) of an uploaded file: JSON (an array, or under ``qa`` or ``questions``), or lines
+    split at pipes, of which those without a question go. Unknown difficulties are the middle one."""
     names = ["q", "a", "difficulty", "evidence", "source"]
+    levels = list(dict.fromkeys(S.DIFFICULTY_LABELS.values()))
     if kind == "json":
-        item = "array<struct<q:string,a:string,difficulty:string,evidence:string,source:string>>"
+        fields = {"q": ("q", "question"), "a": ("a", "answer"), "difficulty": ("diff",), "evidence": ("evidence", "ev"), "source": ("src", "source")}
+        item = f"array<struct<{','.join(f'{f}:string' for some in fields.values() for f in some)}>>"
         raw = spark.read.text(path, wholetext=True)
         rows = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", item)), F.from_json(F.get_json_object("value", "$.qa"), item), F.from_json(F.get_json_object("value", "$.questions"), item))
-        return raw.select(F.explode(rows).alias("r")).select("r.*")
-    parts = F.split("value", r"\|")
-    return spark.read.text(path).select(*[F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(names)]).where("q <> ''")
+        found = raw.select(F.explode(rows).alias("r")).select(*[F.coalesce(*[F.nullif(F.col(f"r.{f}"), F.lit("")) for f in some], F.lit("")).alias(n) for n, some in fields.items()])
+    else:
+        parts = F.split("value", r"\|")
+        found = spark.read.text(path).select(*[F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(names)]).where("q <> ''")
+    known = F.when(F.col("difficulty").isin(levels), F.col("difficulty")).otherwise(S.DIFFICULTY_LABELS["L2"])
+    return found.withColumns({"difficulty": known, "source": F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("上传文件"))})
 
 
 def seed_blocks(points: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Text rules, parsing folds, sources and workflow operators on hand-made rows."""
 
+import hashlib
 import re
 import zipfile
 from importlib.util import find_spec
@@ -230,3 +231,46 @@ def test_plugged_in_models(spark):
     assert [r.embedding for r in vectors.encoded(df, None).collect()] == [None] * 3
     with pytest.raises(ValueError, match="mode"):
         generation.wanted(df, df.withColumn("is_questionable", F.lit(True)), "other")
+
+
+def test_ingest_and_exchange(spark, tmp_path):
+    for name, content in (("a.md", "# T\nfirst text."), ("b.txt", "second text."), ("c.txt", "second text."), ("d.exe", "x"), ("e.txt", "known")):
+        (tmp_path / name).write_text(content)
+    known = spark.createDataFrame([(1, "old.md", hashlib.sha256(b"known").hexdigest())], "document_id long, file_name string, file_hash string")
+    got = ingest.ingested(spark, str(tmp_path), known, 10)
+    assert [(r.document_id, r.file_name) for r in got.documents.orderBy("document_id").collect()] == [(10, "a.md"), (11, "b.txt")]
+    assert {(r.document_id, r.block_text) for r in got.blocks.collect()} == {(10, "T"), (10, "first text."), (11, "second text.")}
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in got.refused.collect()} == {"c.txt": "duplicate", "d.exe": "extension", "e.txt": "duplicate"}
+    blocks = spark.createDataFrame([(7, 1, "old"), (8, 2, "other")], "block_id long, document_id long, block_text string")
+    eiu = spark.createDataFrame([(1, 7), (2, 8)], "eiu_id long, block_id long")
+    case = spark.createDataFrame([(1, 1), (2, 2)], "case_id long, document_id long")
+    check = spark.createDataFrame([(1,), (2,)], "case_id long")
+    documents, kept, e, c, k = ingest.reuploaded(1, got, known, blocks, eiu, case, check)
+    assert {r.document_id for r in documents.collect()} == {10, 11} and {r.document_id for r in kept.collect()} == {2, 10, 11}
+    assert ([r.eiu_id for r in e.collect()], [r.case_id for r in c.collect()], [r.case_id for r in k.collect()]) == ([2], [2], [2])
+    nothing = ingest.ingested(spark, str(tmp_path), known.unionByName(got.documents.select(known.columns)), 20)
+    assert ingest.reuploaded(1, nothing, known, blocks, eiu, case, check)[0].count() == 1  # what can't be exchanged stays
+
+
+def test_chat_adapter(spark):
+    sent = []
+
+    def send(request):
+        sent.append(request)
+        return {"choices": [{"message": {"content": "yes"}}]} if len(request["messages"]) > 1 else {}
+
+    ask = adapters.chat(send, "m")
+    assert ask("q", ["h"])["answer"] == "yes" and ask("q", [])["error"] == "no answer"
+    assert [m["content"] for m in sent[0]["messages"]] == ["h", "q"]
+    turn = "array<struct<q:string,key_turn:boolean>>"
+    df = spark.createDataFrame([("u", [("a", False), ("b", True), ("c", None)])], f"case_uid string, turns {turn}")
+    assert [(r.question, r.history) for r in adapters.asked_turns(df).collect()] == [("c", ["a"])]
+
+
+def test_uploaded_questions(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("one?|yes|难|e|s\n|no\ntwo?|maybe|odd\n")
+    got = [tuple(r) for r in readers.qa_rows(spark, str(tmp_path / "q.txt"), "txt").collect()]
+    assert got == [("one?", "yes", "难", "e", "s"), ("two?", "maybe", "中等", "", "上传文件")]
+    (tmp_path / "q.json").write_text('[{"question":"a","answer":"b","diff":"简单","ev":"x"},{"q":"c"}]')
+    got = [tuple(r) for r in readers.qa_rows(spark, str(tmp_path / "q.json"), "json").collect()]
+    assert got == [("a", "b", "简单", "x", "上传文件"), ("c", "", "中等", "", "上传文件")]
