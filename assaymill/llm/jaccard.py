@@ -30,21 +30,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import lower, row_hashes, runs, span_hashes
-from .common import ready, spread, stored, whole_text
+from .common import kept, run_folder, small_or_joined, spread, stored, whole_text
 from .graph import components, forest
 from .quality import pieces
 
 WORDS, SHARE = 5, 80
 #: A set of n shingles and any set it links with share n // SURE of their first shingles, taking that many more.
 SURE = 20
-#: Slots of the frequency estimate, and of what an estimate counts as frequent.
-SLOTS, FREQUENT = 1 << 22, 16
+#: Slots of the frequency estimate, what an estimate counts as frequent, and slots whose levels one row holds.
+SLOTS, FREQUENT, LEVELS = 1 << 22, 16, 1 << 16
 #: Logarithm of the estimated frequency above which a region starts in parts of about so many members.
 HOT_LEVEL = 10
 #: Ids that are sent to all tasks at most, and rounds of dropping classes that share too little.
 IDS_AT_ONCE, PRUNINGS = 2_000_000, 2
-#: Sets that are compared with as many others at once, and shingles of them that are looked at together.
-BLOCK, COLUMNS = 512, 8192
+#: Sets that are compared with as many others at once, their bytes, and shingles of them that are looked at together.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 8192
 IN_WORD = np.ones(256, bool)
 IN_WORD[[32, *range(9, 14)]] = False
 
@@ -82,10 +82,20 @@ def order_of(docs: DataFrame) -> Broadcast:
         out = np.flatnonzero(total >= max(2, 4 * total.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(total[out])], names=["slot", "n"])
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, at, n = (c.to_numpy() for c in b.columns)
+            for k in np.unique(chunk).tolist():
+                own = chunk == k
+                made.setdefault(k, np.zeros(LEVELS, np.uint8))[at[own]] = np.frexp(n[own].astype(float))[1]  # bits of n
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["chunk", "levels"])
+
     seen = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    dealt = seen.select(F.floor(F.col("slot") / LEVELS).alias("chunk"), (F.col("slot") % LEVELS).alias("at"), "n").repartition(spread(docs.sparkSession), "chunk")
     level = np.zeros(SLOTS, np.uint8)
-    for r in seen.collect():
-        level[r.slot] = r.n.bit_length()
+    for r in dealt.mapInArrow(build, "chunk long, levels binary").collect():  # a byte for each slot at most
+        level[r.chunk * LEVELS :][:LEVELS] = np.frombuffer(r.levels, np.uint8)
     return docs.sparkSession.sparkContext.broadcast(level)
 
 
@@ -231,17 +241,40 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+def in_blocks(members: DataFrame, row: Column, size: Column, side: str) -> DataFrame:
+    """(region, array of rows): the members of each region in blocks of about BLOCK rows and BLOCK_BYTES."""
+    parts = stored(members.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(size) / BLOCK_BYTES)).alias("parts")), "region-parts")
+    dealt = members.join(small_or_joined(parts), "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).repartition(spread(members.sparkSession), "region", "part")
+    return dealt.groupBy("region", "part").agg(F.collect_list(row).alias(side)).drop("part")
+
+
+def unmet_pairs(members: DataFrame) -> DataFrame:
+    """(id, id_b) of members of one region in two components that neither's home has brought together and that may link.
+
+    ``members``: (region, id, component, home, visited, n, c). Each block of a region meets each other one under a key of
+    their own, so no task holds a region, and only what is still to be compared becomes a row.
+    """
+    parts = stored(members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "region-parts")
+    dealt = members.join(small_or_joined(parts), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    one = dealt.withColumn("block_b", every)
+    other = dealt.withColumn("block_a", every).select(*[F.col(x).alias(f"{x}_b") for x in (*members.columns, "block")], "block_a")
+    meet = (F.col("region") == F.col("region_b")) & (F.col("block") == F.col("block_a")) & (one["block_b"] == other["block_b"])
+    differ = (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b"))
+    unmet = ~F.array_contains("visited_b", F.col("home")) & ~F.array_contains("visited", F.col("home_b"))
+    return one.join(other, meet & differ & unmet & may_link("n", "c", "n_b", "c_b")).select("id", "id_b").distinct()
+
+
 def joined_blocks(hosts: DataFrame, guests: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that join what links between the members that have a region as home and all members of it.
 
-    ``hosts`` and ``guests``: (region, id). Members go in blocks of BLOCK, and a pair of blocks returns only as many
-    links as its components need, so no task holds a region and no pair of members becomes a row.
+    ``hosts`` and ``guests``: (region, id). Members go in blocks of about BLOCK and BLOCK_BYTES, and a pair of blocks
+    returns only as many links as its components need, so no task holds a region and no pair of members becomes a row.
     """
+    sized = sets.withColumn("bytes", F.octet_length("hashes"))
 
     def blocks(members: DataFrame, side: str) -> DataFrame:
-        size = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        dealt = members.join(size, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).join(sets, "id")
-        return dealt.groupBy("region", "part").agg(F.collect_list(F.struct("id", "hashes")).alias(side)).drop("part")
+        return in_blocks(members.join(sized, "id"), F.struct("id", "hashes"), F.col("bytes"), side)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,12 +319,12 @@ def mark_of(text: str) -> Column:
 
 def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    return joined(docs, key, text).drop("mark")
+    with run_folder(docs.sparkSession, "jaccard"):
+        return kept(joined(docs, key, text).drop("mark"), "shingle-components")
 
 
 def joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, mark, n_shingles, component_id) of every document."""
-    ready(docs.sparkSession)
     texts = whole_text(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), mark_of(text).alias("mark"))
     order = order_of(one_of_each(texts))
     all_sets = stored(summaries(texts, order), "summaries")
@@ -369,10 +402,7 @@ def joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     left = open_regions(inner, found).join(home, "id")
     visits = guests.groupBy("id").agg(F.collect_set("region").alias("visited"))
     left = stored(left.join(visits, "id").join(heads.select("id", "n", "c"), "id").drop("size"), "open-regions")
-    other = left.select(*[F.col(x).alias(f"{x}_b") for x in left.columns])
-    differ = (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b"))
-    unmet = ~F.array_contains("visited_b", F.col("home")) & ~F.array_contains("visited", F.col("home_b"))
-    pairs = left.join(other, (F.col("region") == F.col("region_b")) & differ & unmet & may_link("n", "c", "n_b", "c_b")).select("id", "id_b").distinct()
+    pairs = stored(unmet_pairs(left), "unmet-pairs")
     verify(fits(pairs, "id", "id_b").select(*pair("id", "id_b")))
 
     of = classes.select("id", "key", "doc").join(found, "id", "left").select("key", "doc", F.coalesce("component", "id").alias("component"))
@@ -386,6 +416,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows without a key stay; of repeated rows of a kept key all stay, and other texts of that key go by their own component.
     """
-    gone = joined(docs, key, text).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_key"), F.col("mark").alias("gone_mark")).distinct()
+    with run_folder(docs.sparkSession, "jaccard"):
+        gone = joined(docs, key, text).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_key"), F.col("mark").alias("gone_mark"))
+        gone = kept(gone.distinct(), "near-copies")
     same = (docs[key].cast("long") == gone["gone_key"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == gone["gone_mark"])
     return docs.join(gone, same, "left_anti").select(docs.columns)

@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from assaymill.llm import embeddings, graph, html, quality, queries, toxicity
 from assaymill.llm.common import table
 
@@ -124,13 +123,3 @@ def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
-
-
-def test_pipeline_stages(spark):
-    docs = table(spark, SF, "documents")
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, SF).cache()
-        assert docs.columns == names and 0 < docs.count() <= before.count(), name
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
