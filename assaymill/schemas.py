@@ -88,3 +88,9 @@ CONSTRAINT_KEYS = ["subject", "condition", "scope", "period", "currency", "unit"
 # Limits of requests.
 MAX_CONSTRAINT_BYTES, MAX_REASON, LEAST_ANSWER, PAGER = 16 * 1024, 128, 8, 15
 MAX_PDF_PAGES, MAX_DOCX_ELEMENTS = 500, 200_000
+
+# Texts of exports and reports.
+CASE_KIND, CASE_LEVEL, CASE_PRIORITY, CASE_STATUS = "- 题型: ", " / 难度: ", " / 优先级: ", " / 状态: "
+CASE_ANSWER, CASE_POINTS, CASE_PLACE = "- 标准答案: ", "- 必须命中要点:", "- 证据定位: "
+REPORT_HEAD = "# 质量校验报告\n\n- 参与校验样本：%d\n- 通过：%d / 失败：%d\n"
+UPLOADED_FILE = "上传文件"

@@ -228,7 +228,7 @@ def qa_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
         parts = F.split("value", r"\|")
         found = spark.read.text(path).select(*[F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(names)]).where("q <> ''")
     known = F.when(F.col("difficulty").isin(levels), F.col("difficulty")).otherwise(S.DIFFICULTY_LABELS["L2"])
-    return found.withColumns({"difficulty": known, "source": F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("上传文件"))})
+    return found.withColumns({"difficulty": known, "source": F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(S.UPLOADED_FILE))})
 
 
 def seed_blocks(points: DataFrame) -> DataFrame:

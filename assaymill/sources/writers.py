@@ -112,16 +112,16 @@ def markdown(cases: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     first = F.try_element_at("evidence", F.lit(1)) if "evidence" in cases.columns else F.lit(None)
     head = F.concat(F.lit("## "), F.col("case_id").cast("string"), F.lit(" · "), F.coalesce("question", F.lit("")))
-    kind = F.concat(F.lit("- 题型: "), text("question_type"), F.lit(" / 难度: "), text("difficulty"), F.lit(" / 优先级: "), text("content_priority"), F.lit(" / 状态: "), text("review_status"))
+    kind = F.concat(F.lit(S.CASE_KIND), text("question_type"), F.lit(S.CASE_LEVEL), text("difficulty"), F.lit(S.CASE_PRIORITY), text("content_priority"), F.lit(S.CASE_STATUS), text("review_status"))
     points = F.col("must_have_points") if "must_have_points" in cases.columns else F.lit(None).cast("array<string>")
-    listed = F.when(F.size(points) > 0, F.concat(F.lit("- 必须命中要点:\n  - "), F.array_join(points, "\n  - ")))
+    listed = F.when(F.size(points) > 0, F.concat(F.lit(S.CASE_POINTS + "\n  - "), F.array_join(points, "\n  - ")))
     where = None
     if "evidence" in cases.columns:
         where = F.when(first.isNotNull(), F.concat(
-            F.lit("- 证据定位: "), F.coalesce(first["section_path"], F.lit(S.UNFILED)), F.lit(" page "), F.coalesce(first["page_no"].cast("string"), F.lit("?")),
+            F.lit(S.CASE_PLACE), F.coalesce(first["section_path"], F.lit(S.UNFILED)), F.lit(" page "), F.coalesce(first["page_no"].cast("string"), F.lit("?")),
             F.lit(" (block "), first["block_id"].cast("string"), F.lit(") "), F.coalesce(first["document_name"], F.lit("")),
         ))
-    lines = [head, kind, F.concat(F.lit("- 标准答案: "), text("gold_answer")), listed, *([where] if where is not None else [])]
+    lines = [head, kind, F.concat(F.lit(S.CASE_ANSWER), text("gold_answer")), listed, *([where] if where is not None else [])]
     return cases.select("case_id", F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("value"))
 
 
@@ -129,7 +129,7 @@ def quality_report(cases: DataFrame, checks: DataFrame) -> DataFrame:
     """(part, position, value): lines of a report on checks: totals, a row per kind of check, and each failed case."""
     total = summary(cases, checks).select(
         F.lit(0).alias("part"), F.lit(0).cast("long").alias("position"),
-        F.format_string("# 质量校验报告\n\n- 参与校验样本：%d\n- 通过：%d / 失败：%d\n", "checked", "passed", "failed").alias("value"),
+        F.format_string(S.REPORT_HEAD, "checked", "passed", "failed").alias("value"),
     )
     kinds = by_check_type(checks).select(
         F.lit(1).alias("part"), F.row_number().over(Window.orderBy("check_type")).cast("long").alias("position"), F.format_string("| %s | %d | %d |", "check_type", "passed", "failed").alias("value")
