@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import lower, row_hashes, runs, span_hashes
-from .common import kept, run_folder, small_or_joined, spread, stored, whole_text
+from .common import kept, run_folder, spread, stored, whole_text
 from .graph import components, forest
 from .quality import pieces
 
@@ -243,8 +243,8 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def in_blocks(members: DataFrame, row: Column, size: Column, side: str) -> DataFrame:
     """(region, array of rows): the members of each region in blocks of about BLOCK rows and BLOCK_BYTES."""
-    parts = stored(members.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(size) / BLOCK_BYTES)).alias("parts")), "region-parts")
-    dealt = members.join(small_or_joined(parts), "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).repartition(spread(members.sparkSession), "region", "part")
+    parts = members.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(size) / BLOCK_BYTES)).alias("parts"))
+    dealt = members.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     return dealt.groupBy("region", "part").agg(F.collect_list(row).alias(side)).drop("part")
 
 
@@ -254,8 +254,8 @@ def unmet_pairs(members: DataFrame) -> DataFrame:
     ``members``: (region, id, component, home, visited, n, c). Each block of a region meets each other one under a key of
     their own, so no task holds a region, and only what is still to be compared becomes a row.
     """
-    parts = stored(members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "region-parts")
-    dealt = members.join(small_or_joined(parts), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    parts = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = members.join(parts, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     one = dealt.withColumn("block_b", every)
     other = dealt.withColumn("block_a", every).select(*[F.col(x).alias(f"{x}_b") for x in (*members.columns, "block")], "block_a")
