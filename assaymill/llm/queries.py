@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html, jaccard, mixing, oracles, packing, pii, quality, substrings, token_output, toxicity, whitening
+from . import decontamination, dialogue, embeddings, html, jaccard, mixing, oracles, packing, pii, quality, substrings, token_output, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damaged(rows), every=rows)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op9_html": op9_html,
         "op10_token_ids": op10_token_ids,
         "op11_mixing": op11_mixing,
+        "op12_dialogue": op12_dialogue,
         "op13_whitening": op13_whitening,
     }
 
