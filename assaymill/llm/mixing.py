@@ -20,7 +20,7 @@ BLOCK, SHARD = 256, 65_536
 #: Rounds of the permutation of a source's blocks.
 ROUNDS = 24
 #: Documents that are numbered in one group, about.
-GROUP = 20_000
+GROUP = 4_000
 #: Cells of the slots' number range, by which draws find their source.
 CELLS = 1024
 
