@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +86,8 @@ def type_label(c: Column) -> Column:
 
 def priority_label(c: Column) -> Column:
     return F.coalesce(mapped(c, S.PRIORITY_LABELS, F.lit(None)), F.lit(S.PRIORITY_LABELS["P2"]))
+
+
+def label(columns: Sequence[str]) -> Column:
+    """Some columns as one text that is equal where all of them are; null where one of them is."""
+    return F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x), F.to_json(F.struct(*columns))) if columns else F.lit(None).cast("string")

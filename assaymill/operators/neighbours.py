@@ -13,10 +13,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
+from assaymill.functions.records import label
+from assaymill.functions.scoring import dot
+from assaymill.functions.text import statement_key
+from assaymill.operators.terms import TermIndex, shared_terms
 from assaymill.plans.session import checkpoints
 
 #: Bytes of all centres; of the item vectors of a group; of the query vectors that a task takes with it.
@@ -43,16 +47,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _label(columns: Sequence[str]) -> Column:
-    """Some columns as one text; null where one of them is null."""
-    return F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x), F.to_json(F.struct(*columns))) if columns else F.lit(None).cast("string")
-
-
 def usable(rows: DataFrame, key: str, dim: int, same: Sequence[str] = (), other: Sequence[str] = ()) -> DataFrame:
     """(id, vector, same, other): rows with a key and a vector of the length, all of whose entries are finite."""
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     fit = F.col(key).isNotNull() & (F.size("vector") == dim) & finite
-    return rows.where(fit).select(F.col(key).cast("long").alias("id"), F.col("vector"), _label(same).alias("same"), _label(other).alias("other"))
+    return rows.where(fit).select(F.col(key).cast("long").alias("id"), F.col("vector"), label(same).alias("same"), label(other).alias("other"))
 
 
 def length_of(items: DataFrame, vector: str = "vector") -> int:
@@ -244,3 +243,26 @@ def nearest(
     tie = F.col("item_id").desc() if later else F.col("item_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie))
     return known.unionByName(more).where(F.col("score") >= floor).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def candidates(statements: DataFrame, index: TermIndex, k: int = 5, same: Sequence[str] = (), other: Sequence[str] = (), most: int = 20, duplicate: float = S.REUSE_COSINE) -> DataFrame:
+    """(item_a, item_b, by_vector, by_terms, score, weight, relation), a row a pair, of statements that may make a question together.
+
+    ``statements``: (item_id, vector, text, kind, ...); ``index`` holds their texts. Each statement proposes its k nearest
+    by vector and the k that share most of its distinctive terms, both among those that ``same`` and ``other`` allow, so
+    there are at most 2 k pairs a statement. A pair is a ``duplicate`` where its inner product reaches ``duplicate`` or
+    the statements' keys are equal, ``complementary`` where its types go together, else ``related``. ``score`` and
+    ``weight`` are null where a pair lacks a vector or shares no distinctive term with a place among the best.
+    """
+    checkpoints(statements.sparkSession)
+    near = nearest(statements.withColumnRenamed("item_id", "query_id"), statements, k, same, other).select("query_id", "item_id", F.lit(True).alias("v"), F.lit(None).cast("double").alias("weight"))
+    words = shared_terms(index, k, most, statements, same, other).select("query_id", "item_id", F.lit(False).alias("v"), "weight")
+    ends = F.least("query_id", "item_id").alias("item_a"), F.greatest("query_id", "item_id").alias("item_b")
+    pairs = near.unionByName(words).groupBy(*ends).agg(F.bool_or("v").alias("by_vector"), F.bool_or(~F.col("v")).alias("by_terms"), F.max("weight").alias("weight")).checkpoint()
+    side = lambda s: statements.select(F.col("item_id").alias(f"item_{s}"), F.col("vector").alias(f"v_{s}"), statement_key(F.col("text")).alias(f"key_{s}"), F.col("kind").alias(f"kind_{s}"))
+    both = pairs.join(side("a"), "item_a").join(side("b"), "item_b")
+    score = F.round(F.when(F.size("v_a") == F.size("v_b"), dot(F.col("v_a"), F.col("v_b"))), DIGITS)
+    alike = F.coalesce(score >= duplicate, F.lit(False)) | ((F.col("key_a") == F.col("key_b")) & (F.col("key_a") != ""))
+    kinds = F.concat_ws("+", F.array_sort(F.array("kind_a", "kind_b")))
+    relation = F.when(alike, "duplicate").when(kinds.isin(["+".join(sorted(p)) for p in S.COMPLEMENTS]), "complementary").otherwise("related")
+    return both.select("item_a", "item_b", "by_vector", "by_terms", score.alias("score"), "weight", relation.alias("relation"))

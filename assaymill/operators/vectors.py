@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -10,11 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaymill import schemas as S
-from assaymill.functions.scoring import dot
 from assaymill.functions.text import tokens
-
-#: Query vectors that are sent to all tasks at a time; more queries go in blocks of this size.
-QUERIES_AT_ONCE = 5000
+from assaymill.operators.neighbours import nearest
 
 
 def indexed(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -27,38 +26,18 @@ def without_documents(vectors: DataFrame, documents: DataFrame) -> DataFrame:
     return vectors.join(documents.select("document_id"), "document_id", "left_anti")
 
 
-def pairs_of(queries: DataFrame, items: DataFrame, score: Callable[[Column, Column], Column], itself: bool = False) -> DataFrame:
-    """(query_id, item_id, score) of all items for a stated set of queries, a block of queries at a time."""
-    n = queries.count()
-    blocks = -(-n // QUERIES_AT_ONCE) or 1
-    out = None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = items.join(F.broadcast(some.withColumnRenamed("vector", "_q")))  # QUERIES_AT_ONCE rows or about
-        pairs = pairs if itself else pairs.where(F.col("query_id") != F.col("item_id"))
-        scored = pairs.select("query_id", "item_id", score(F.col("vector"), F.col("_q")).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def top_k(queries: DataFrame, items: DataFrame, k: int = 5, least: float | None = None, itself: bool = False, digits: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the best items of each query by inner product, ties to the smaller id.
 
-    ``queries``: (query_id, vector); ``items``: (item_id, vector), any number, filtered beforehand where only some count.
-    Spark keeps each task's best k of a query before the shuffle.
+    ``queries``: (query_id, vector); ``items``: (item_id, vector), any number of both, filtered beforehand where only some count.
     """
-    scored = pairs_of(queries, items, dot, itself)
-    scored = scored if least is None else scored.where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id")))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = nearest(queries, items, k, least=least, itself=itself)
     return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
 def best_reuse(queries: DataFrame, items: DataFrame, threshold: float = S.REUSE_COSINE) -> DataFrame:
     """The most similar earlier item of each query at or above the threshold; ties to the later id."""
-    scored = pairs_of(queries, items, dot).where(F.col("score") >= threshold)
-    best = scored.groupBy("query_id").agg(F.max(F.struct("score", "item_id")).alias("b"))
-    return best.select("query_id", F.col("b.item_id").alias("item_id"), F.round("b.score", 4).alias("similarity"))
+    return nearest(queries, items, 1, least=threshold, later=True).select("query_id", "item_id", F.round("score", 4).alias("similarity"))
 
 
 def scored_pairs(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
@@ -99,12 +78,24 @@ def encoded(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]] |
 
 
 def lexical(question: str, blocks: DataFrame) -> DataFrame:
-    """(block_id, score): cosine of word counts and a tenth for each word shared; blocks without a shared word score 0."""
-    asked = blocks.sparkSession.createDataFrame([(question,)], "t string").select(F.explode(tokens(F.col("t"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("q"))
-    q_norm = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    words = blocks.select("block_id", F.explode(tokens(F.col("block_text"))).alias("token")).groupBy("block_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    both = words.join(F.broadcast(asked), "token", "left")  # the words of one question
-    sums = both.groupBy("block_id").agg(F.sum(F.col("n") * F.col("q")).alias("shared"), F.count("q").alias("overlap"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    score = F.coalesce(F.col("shared") / (F.col("norm") * F.col("q_norm")), F.lit(0.0)) + F.col("overlap") * 0.1
-    found = sums.join(F.broadcast(q_norm)).select("block_id", F.round(score, 4).alias("score"))
-    return blocks.select("block_id", F.substring("block_text", 1, 200).alias("source_excerpt")).join(found, "block_id", "left").fillna(0.0, ["score"])
+    """(block_id, score): cosine of word counts and a tenth for each word shared; blocks without a shared word score 0.
+
+    A block's counts are taken inside its row, so nothing is shuffled.
+    """
+    found = blocks.sparkSession.range(1).select(tokens(F.lit(question))).first()[0]
+    asked = {t: found.count(t) for t in found}
+    words, start = F.col("_words"), F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares"))
+
+    def count(a: Column, w: Column) -> Column:  # (n + 1)^2 is n^2 + 2 n + 1
+        again = (a["last"] == w) & (a["run"] > 0)
+        run = F.when(again, a["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(w.alias("last"), (run + 1).alias("run"), (a["squares"] + 2 * run + 1).alias("squares"))
+
+    norm = F.sqrt(F.aggregate(F.array_sort(words), start, count)["squares"].cast("double"))
+    times = {t: F.size(F.filter(words, partial(operator.eq, F.lit(t)))) for t in asked}
+    shared = sum((n * asked[t] for t, n in times.items()), F.lit(0))
+    overlap = sum(((n > 0).cast("int") for n in times.values()), F.lit(0))
+    q_norm = float(sum(n * n for n in asked.values())) ** 0.5
+    score = F.coalesce(F.try_divide(shared.cast("double"), norm * q_norm), F.lit(0.0)) + overlap * 0.1
+    out = blocks.withColumn("_words", tokens(F.coalesce("block_text", F.lit(""))))
+    return out.select("block_id", F.substring("block_text", 1, 200).alias("source_excerpt"), F.round(score, 4).alias("score"))

@@ -70,6 +70,8 @@ ADVICE = {
     "D9": "系统运行异常：检查超时 / 限流 / 接口错误，重试或调整适配器配置",
 }
 NO_ADVICE = "建议人工复核该失败样本"
+#: Types of statements that together make a question across segments, in either order.
+COMPLEMENTS = [("definition", "formula"), ("definition", "metric"), ("metric", "formula"), ("rule", "exception"), ("rule", "change")]
 HARD_TYPES = ["threshold", "definition", "rule", "prohibition", "exception"]
 
 # Settings that are never stored, and what stands for absent texts.
