@@ -11,6 +11,7 @@ from assaymill.operators import terms as I
 from assaymill.plans.queries import query
 from assaymill.plans.session import temporary
 from assaymill.plans.views import view
+from assaymill.sources.vector_index import VectorIndex
 
 TOKENS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda x: lower(x))"
 PRODUCTS = """SELECT a.item_id AS query_id, b.item_id, a.grp, b.item_id % 3 = a.item_id % 3 AS together, round(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 9) AS score
@@ -92,3 +93,17 @@ def mh_candidates(s: SparkSession, d: str) -> DataFrame:
     rows = rows.select(F.col("doc_id").alias("item_id"), "vector", "text", kind.alias("kind"), "label", (F.col("doc_id") % 3).alias("doc"))
     terms = I.build(rows, temporary(s, "terms"), key="item_id")
     return N.candidates(rows, terms, 5, same=["label"], other=["doc"]).withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT item_id, CAST(CASE WHEN item_id % 7 = 0 THEN -vector[1] ELSE vector[1] END AS DOUBLE) AS first FROM v_vector WHERE (item_id % 10 <> 3 OR item_id % 3 = 2 OR item_id % 7 = 0) AND item_id % 11 <> 5""", "vector")
+def top08_index(s: SparkSession, d: str) -> DataFrame:
+    """What is in an index after batches, a removed document, replaced vectors, a compaction and removed ids."""
+    rows = view(s, d, "vector").withColumn("document_id", F.col("item_id") % 10)
+    held = VectorIndex(s, temporary(s, "index"))
+    held.add(rows.where("item_id % 3 < 2"))
+    held.remove(documents=s.range(3, 4).withColumnRenamed("id", "document_id"))
+    held.add(rows.where("item_id % 3 = 2"))
+    held.add(rows.where("item_id % 7 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    held.compact()
+    held.remove(ids=rows.where("item_id % 11 = 5"))
+    return held.live().select("item_id", F.col("vector")[0].cast("double").alias("first"))
