@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import lower, row_hashes, runs, span_hashes
-from .common import kept, run_folder, spread, stored, whole_text
+from .common import kept, run_folder, small_or_joined, spread, stored, whole_text
 from .graph import components, forest
 from .quality import pieces
 
@@ -418,6 +418,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     with run_folder(docs.sparkSession, "jaccard"):
         gone = joined(docs, key, text).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_key"), F.col("mark").alias("gone_mark"))
-        gone = kept(gone.distinct(), "near-copies")
+        gone = small_or_joined(kept(gone.distinct(), "near-copies"))  # else the texts would be shuffled for it
     same = (docs[key].cast("long") == gone["gone_key"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == gone["gone_mark"])
     return docs.join(gone, same, "left_anti").select(docs.columns)
