@@ -34,7 +34,11 @@ def decoded(raw: bytes) -> str:
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of accepted files: known extension, at most the size limit."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return accepted_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def accepted_files(raw: DataFrame) -> DataFrame:
+    """Those of some files, and their ``suffix``."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return raw.where(suffix.isin(S.UPLOAD_EXTENSIONS) & (F.col("length") <= S.MAX_FILE_BYTES)).withColumn("suffix", suffix)
 
