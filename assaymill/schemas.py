@@ -96,3 +96,7 @@ CASE_KIND, CASE_LEVEL, CASE_PRIORITY, CASE_STATUS = "- 题型: ", " / 难度: ",
 CASE_ANSWER, CASE_POINTS, CASE_PLACE = "- 标准答案: ", "- 必须命中要点:", "- 证据定位: "
 REPORT_HEAD = "# 质量校验报告\n\n- 参与校验样本：%d\n- 通过：%d / 失败：%d\n"
 UPLOADED_FILE = "上传文件"
+
+#: Units of numbers and what they stand for; phrases by which an answer declines.
+UNIT_FACTORS = {"%": 0.01, "‰": 0.001, "千": 1e3, "万": 1e4, "百万": 1e6, "千万": 1e7, "亿": 1e8, "万亿": 1e12, "k": 1e3, "thousand": 1e3, "million": 1e6, "bn": 1e9, "billion": 1e9}
+REFUSALS = ["无法回答", "不能回答", "无法确定", "没有相关信息", "资料中未提及", "cannot answer", "can't answer", "unable to answer", "no information", "not mentioned in the"]
