@@ -24,9 +24,9 @@ import pyarrow as pa
 from .bytewise import joined
 
 #: Units kept in a worker, beyond which the store starts anew, and the longest one that is kept.
-UNIT_LIMIT, UNIT_BYTES = 800_000, 200
+UNIT_LIMIT, UNIT_BYTES = 500_000, 200
 #: Bytes of texts that are cut together, and units that are joined together.
-TEXT_BYTES, UNITS_AT_ONCE = 4_000_000, 1_000_000
+TEXT_BYTES, UNITS_AT_ONCE = 1_500_000, 400_000
 OTHER, LETTER, DIGIT, SIGN, APOSTROPHE, SPACE, FEED = range(7)
 KINDS = np.zeros(256, np.uint8)
 KINDS[33:127] = SIGN
