@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from assaymill.plans import queries as plans
-from assaymill.plans import measure_queries, rule_queries, search_queries, workflow_queries  # noqa: F401  they register more
+from assaymill.plans import measure_queries, review_queries, rule_queries, search_queries, workflow_queries  # noqa: F401  they register more
 
 SF = "/root/testdata/sf0.001"
 
