@@ -21,16 +21,16 @@ def run_summary(results: DataFrame, by: str | None = "run_id") -> DataFrame:
 
     ``tokens`` and ``cost`` are summed where the results have them, and ``diagnoses`` counts the results of each code.
     """
-    ok = F.coalesce(F.col("score") >= S.PASS_SCORE, F.lit(False))
-    sums = results.groupBy(*([by] if by else [])).agg(
+    ok, keys = F.coalesce(F.col("score") >= S.PASS_SCORE, F.lit(False)), [by] if by else []
+    part = results.groupBy(*keys, "diagnosis").agg(
         F.count(F.lit(1)).alias("total"), F.count("score").alias("scored"), F.count_if(ok).alias("passed"), F.count_if(F.col("status") == "error").alias("error_count"),
         F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("total_latency_ms"),
         *[F.sum(F.coalesce(c, F.lit(0))).alias(f"total_{c}") for c in ("tokens", "cost") if c in results.columns],
     )
-    keys = [by] if by else []
-    codes = results.where("diagnosis IS NOT NULL").groupBy(*keys, "diagnosis").agg(F.count(F.lit(1)).alias("n"))
-    codes = codes.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("diagnosis", "n")))).alias("diagnoses"))
-    sums = sums.join(codes, by, "left") if by else sums.join(F.broadcast(codes))  # without a key one row each
+    code = F.when(F.col("diagnosis").isNotNull(), F.struct("diagnosis", F.col("total").alias("n")))
+    codes = F.sort_array(F.collect_list(code))  # a code each, and nulls aren't collected
+    sums = part.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in part.columns if c not in (*keys, "diagnosis")], F.when(F.size(codes) > 0, F.map_from_entries(codes)).alias("diagnoses"))
+    sums = sums if by else sums.fillna(0, [c for c in sums.columns if c in ("total", "scored", "passed", "error_count")])
     return sums.withColumns({
         "passed_rate": rate(F.col("passed"), F.nullif(F.col("scored"), F.lit(0)), None), "error_rate": rate(F.col("error_count"), F.nullif(F.col("total"), F.lit(0)), None),
     })

@@ -64,9 +64,10 @@ def across_blocks(items: DataFrame) -> DataFrame:
 
 
 def extracted(blocks: DataFrame) -> DataFrame:
-    """The whole rule-based run: statements, exclusion records, duplicates across blocks marked. Statements are found once
-    and written, for three steps read them."""
+    """The whole rule-based run: statements, exclusion records, duplicates across blocks marked. Blocks and statements are
+    made once and written, for several steps read them."""
     checkpoints(blocks.sparkSession)
+    blocks = blocks.checkpoint()
     found = statements(blocks).checkpoint()
     return across_blocks(found).unionByName(exclusions(blocks, found))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assaymill import schemas as S
 from assaymill.functions.text import line_kind
@@ -23,33 +27,43 @@ def merged(rows: DataFrame, limit: int = S.MAX_MERGE, keep_line: bool = False) -
     """Neighbouring lines of one type that is no heading become one block: always up to ``limit`` characters, up to twice
     that only where the text so far doesn't end a sentence, beyond that never.
 
-    A document's lines are folded in order over their lengths alone; texts are joined once, block by block. With
-    ``keep_line`` a block keeps the number of its first line.
+    Lines stream by in order, document by document, so a task holds a batch of them and the block that is being made.
+    With ``keep_line`` a block keeps the number of its first line.
     """
     w = Window.partitionBy("document_id").orderBy("line_no")
-    alike = F.coalesce(F.col("level").isNull() & F.lag(F.col("level").isNull()).over(w) & (F.col("block_type") == F.lag("block_type").over(w)), F.lit(False))
     ends = F.coalesce(F.lag(F.col("text").rlike("[。！？；;….]$")).over(w), F.lit(False))
-    item = F.struct("line_no", "_alike", "_ends", F.length("text").alias("n"))
-    flagged = rows.withColumns({"_alike": alike, "_ends": ends})
-    sizes = flagged.groupBy("document_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    state = F.struct(F.lit(0).cast("int").alias("size"), F.array().cast("array<int>").alias("begins"))
-
-    def step(done, x):
-        size = done["size"] + x["n"]
-        joins = x["_alike"] & ((size <= limit) | ((size <= 2 * limit) & ~x["_ends"]))
-        return F.struct(F.when(joins, size + 1).otherwise(x["n"]).alias("size"), F.when(joins, done["begins"]).otherwise(F.concat(done["begins"], F.array(x["line_no"]))).alias("begins"))
-
-    starts = sizes.select("document_id", F.explode(F.aggregate("items", state, step)["begins"]).alias("line_no"))
-    marked = rows.join(starts.withColumn("_first", F.lit(1)), ["document_id", "line_no"], "left")
-    position = F.sum(F.coalesce("_first", F.lit(0))).over(w) - 1
-    part = F.struct("line_no", "block_type", "level", "text", "start", "end")
-    blocks = marked.withColumn("position", position.cast("int")).groupBy("document_id", "position").agg(F.sort_array(F.collect_list(part)).alias("b"))
-    first, last = F.element_at("b", 1), F.element_at("b", -1)
-    line = [first["line_no"].alias("line_no")] if keep_line else []
-    return blocks.select(
-        "document_id", *line, "position", first["block_type"].alias("block_type"), first["level"].alias("level"), F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"),
-        first["start"].alias("start"), last["end"].alias("end"),
-    )
+    flagged = rows.select("document_id", "line_no", "block_type", "level", "text", "start", "end", F.length("text").alias("n"), ends.alias("ended")).sortWithinPartitions("document_id", "line_no")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list | None = None
+        document, position, size = None, 0, 0
+        for b in batches:
+            done = []
+            for doc, line, kind, level, text, start, end, n, ended in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                same = block is not None and doc == document
+                size += n
+                if same and level is None and block[4] is None and kind == block[3] and (size <= limit or size <= 2 * limit and not ended):
+                    block[5].append(text)
+                    block[7], size = end, size + 1
+                    continue
+                if block is not None:
+                    done.append(block)
+                document, position, size = doc, position + 1 if same else 0, n
+                block = [doc, line, position, kind, level, [text], start, end]
+            yield made(done)
+        yield made([block] if block is not None else [])
+
+    def made(blocks: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*blocks, strict=True)) or [[]] * 8
+        columns[5] = ["\n".join(t) for t in columns[5]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    kind = rows.schema["document_id"].dataType
+    schema = pa.schema([
+        ("document_id", to_arrow_type(kind)), ("line_no", pa.int32()), ("position", pa.int32()), ("block_type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
+    ])
+    blocks = flagged.mapInArrow(fold, f"document_id {kind.simpleString()}, line_no int, position int, block_type string, level int, text string, start long, end long")
+    return blocks if keep_line else blocks.drop("line_no")
 
 
 def hierarchy(blocks: DataFrame, levels: int = 6) -> DataFrame:

@@ -392,9 +392,9 @@ def parsed_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{BLOCKS_SQL}, p AS (SELECT *, {_LAST} FROM b)
-SELECT document_id, position, block_type, coalesce(nullif(array_to_string(list_filter([{_ABOVE}], lambda x: x IS NOT NULL), ' / '), ''), '{S.UNFILED}') AS section_path, CAST(length(text) AS INTEGER) AS n_chars FROM p""")
+SELECT document_id, position, block_type, coalesce(nullif(array_to_string(list_filter([{_ABOVE}], lambda x: x IS NOT NULL), ' / '), ''), '{S.UNFILED}') AS section_path, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM p""")
 def win05_merged_blocks(s: SparkSession, d: str) -> DataFrame:
-    return P.hierarchy(parsed_blocks(s, d)).select("document_id", "position", "block_type", "section_path", F.length("text").alias("n_chars"))
+    return P.hierarchy(parsed_blocks(s, d)).select("document_id", "position", "block_type", "section_path", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 @query(f"""{BLOCKS_SQL} SELECT document_id, position, row_number() OVER (ORDER BY document_id, position) AS block_id FROM b""")
@@ -432,11 +432,11 @@ sentences AS (SELECT block_id, unnest(parts) AS sentence, generate_subscripts(pa
 ruled AS (SELECT block_id, position, {classified_sql("sentence")} AS rule, {_CLEAN} AS whole FROM sentences WHERE NOT {skip_sql("sentence")}),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY block_id, whole ORDER BY position) AS r FROM ruled WHERE rule IS NOT NULL AND whole <> ''),
 found AS (SELECT block_id, position, rule, {truncated_sql("whole")} AS statement FROM firsts WHERE r = 1)
-SELECT block_id, CAST(position AS INTEGER) AS position, {[k for k, _ in _KINDS]}[rule + 1] AS eiu_type, {[p for _, p in _KINDS]}[rule + 1] AS content_priority, block_id = min(block_id) OVER (PARTITION BY {_KEY}) AS is_questionable, CAST(length(statement) AS INTEGER) AS n_chars FROM found
-UNION ALL SELECT block_id, 0, 'rule', 'P2', false, length('[排除] 无实质内容') FROM blocks WHERE block_id NOT IN (SELECT block_id FROM found)""")
+SELECT block_id, CAST(position AS INTEGER) AS position, {[k for k, _ in _KINDS]}[rule + 1] AS eiu_type, {[p for _, p in _KINDS]}[rule + 1] AS content_priority, block_id = min(block_id) OVER (PARTITION BY {_KEY}) AS is_questionable, md5(statement) AS text_md5, CAST(length(statement) AS INTEGER) AS n_chars FROM found
+UNION ALL SELECT block_id, 0, 'rule', 'P2', false, md5('[排除] 无实质内容'), length('[排除] 无实质内容') FROM blocks WHERE block_id NOT IN (SELECT block_id FROM found)""")
 def wfl04_extraction(s: SparkSession, d: str) -> DataFrame:
     blocks = parsed_blocks(s, d).select((F.col("document_id") * 100_000 + F.col("position")).alias("block_id"), "block_type", F.col("text").alias("block_text"))
-    return X.extracted(blocks).select("block_id", "position", "eiu_type", "content_priority", "is_questionable", F.length("statement").alias("n_chars"))
+    return X.extracted(blocks).select("block_id", "position", "eiu_type", "content_priority", "is_questionable", F.md5("statement").alias("text_md5"), F.length("statement").alias("n_chars"))
 
 
 TOP = """SELECT a.item_id AS query_id, b.item_id, round(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 6) AS score,
