@@ -98,21 +98,26 @@ def from_replies(replies: DataFrame, model: str) -> DataFrame:
     return normalised(replies.select("block_id", F.explode(json_list(F.col("reply"), ITEM)).alias("item")), model)
 
 
-#: Vectors of a block that are compared with those of another at once.
-BLOCK = 4096
+#: Vectors of a block that are compared with those of another at once, and their bytes.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 
 
 def near_pairs(items: DataFrame, threshold: float, group: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of items of one group whose inner product is the threshold or more.
 
-    A group's vectors go in blocks, and only near pairs become rows, so neither a task nor a row holds a group.
+    A group's vectors go in blocks of bounded rows and bytes. Which blocks meet is settled by their numbers, and each
+    vector goes to its block's meetings by the numbers of both blocks, so no key stands for a group; only near pairs
+    become rows.
     """
-    sizes = items.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    sizes = items.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(8 * F.greatest(F.size("vector"), F.lit(0))) / BLOCK_BYTES)).alias("parts"))
+    parts = sizes.where(F.col("parts").isNotNull()).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     vector = F.transform("vector", lambda x: x.cast("double"))
-    dealt = items.where(F.col(group).isNotNull()).join(sizes, group).select(F.col(group).alias("g"), F.pmod(F.xxhash64("item_id"), F.col("_parts")).alias("p"), F.struct(F.col("item_id").cast("long").alias("id"), vector.alias("v")).alias("row"))
+    rows = items.select(F.col(group).alias("g"), F.struct(F.col("item_id").cast("long").alias("id"), vector.alias("v")).alias("row"))
+    dealt = rows.join(sizes, "g").select("g", F.pmod(F.xxhash64("row.id"), "parts").alias("p"), "row")
     blocks = dealt.groupBy("g", "p").agg(F.collect_list("row").alias("rows"))
+    meet = parts.select("g", F.col("p").alias("p_a"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("p_b"))
     one, other = (blocks.select("g", F.col("p").alias(f"p_{s}"), F.col("rows").alias(s)) for s in "ab")
-    pairs = one.join(other, "g").where("p_a <= p_b").select("a", "b").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = meet.join(one, ["g", "p_a"]).join(other, ["g", "p_b"]).select("a", "b").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assaymill import schemas as S
 from assaymill.operators import neighbours as N
 from assaymill.operators import terms as I
+from assaymill.operators import vectors as T
 from assaymill.plans.queries import query
 from assaymill.plans.session import temporary
 from assaymill.plans.views import view
@@ -107,3 +108,19 @@ def top08_index(s: SparkSession, d: str) -> DataFrame:
     held.compact()
     held.remove(ids=rows.where("item_id % 11 = 5"))
     return held.live().select("item_id", F.col("vector")[0].cast("double").alias("first"))
+
+
+def apart(asked: list[str], found: list[str]) -> list[float]:
+    """A stand-in for a model of pairs: near lengths are alike."""
+    return [-float(abs(len(q) - len(t))) for q, t in zip(asked, found, strict=True)]
+
+
+@query(INDEX + """, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, block_id) AS r FROM b) WHERE r <= 10)
+SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, block_id AS item_id, CAST(-abs(length(i.text) - length(d.text)) AS DOUBLE) AS score,
+row_number() OVER (PARTITION BY query_id ORDER BY -abs(length(i.text) - length(d.text)) DESC, block_id) AS rank FROM k JOIN benchmark i ON i.item_id = query_id JOIN documents d ON d.doc_id = block_id) WHERE rank <= 3""")
+def top06_reranked(s: SparkSession, d: str) -> DataFrame:
+    """Three of the ten texts that the index finds for each question: both cuts are the operators'."""
+    asked = questions(s, d)
+    found = I.best_blocks(index(s, d), asked, 10).select("query_id", F.col("block_id").alias("item_id"))
+    pairs = found.join(asked.withColumnRenamed("text", "question"), "query_id").join(texts(s, d).withColumnRenamed("block_id", "item_id"), "item_id")
+    return T.reranked(pairs, apart, 3).select("query_id", "item_id", "score", "rank")

@@ -17,7 +17,7 @@ from assaymill.operators import generation as G
 from assaymill.operators import lookups as L
 from assaymill.operators import releases as R
 from assaymill.operators import vectors as T
-from assaymill.plans.queries import FOLDERS, SPACE, composition, folders, query, trim_sql, truncated_sql
+from assaymill.plans.queries import FOLDERS, SPACE, folders, query, trim_sql, truncated_sql
 from assaymill.plans.views import checks, view
 from assaymill.sources import writers
 
@@ -267,20 +267,46 @@ def snk18_public_cases(s: SparkSession, d: str) -> DataFrame:
     return U.imported_public(sent, 5, "open", dimensions=["even"]).cases.select("case_id", "set_id", "q", "a", "review_status")
 
 
-def known_sources(s: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return s.createDataFrame([(7, "frozen"), (8, "draft")], "version_id long, status string"), s.createDataFrame([(1,), (2,)], "set_id long"), s.createDataFrame([(0,)], "set_id long")
+_ITEMS = """WITH i AS (SELECT CAST(s_suppkey AS INTEGER) AS item_pos, CASE s_suppkey % 4 WHEN 0 THEN 'doc_generated' WHEN 1 THEN 'uploaded' WHEN 2 THEN 'public' ELSE CASE WHEN s_suppkey % 8 = 3 THEN 'doc_generated' ELSE 'mail' END END AS source, s_nationkey % 12 AS ref FROM supplier),
+e AS (SELECT item_pos, CASE WHEN source = 'mail' THEN 'unknown source' WHEN source = 'doc_generated' AND n_nationkey IS NULL THEN 'version not found' WHEN source = 'doc_generated' AND n_regionkey % 2 = 0 THEN 'version not frozen'
+WHEN source = 'uploaded' AND ref NOT IN (SELECT conv_id % 7 FROM conversations) THEN 'uploaded set not found' WHEN source = 'public' AND ref NOT IN (SELECT item_id % 3 FROM benchmark) THEN 'public set not found' END AS error
+FROM i LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 4) ON n_nationkey = ref) """
 
 
-@query("SELECT 'composition.create' AS operation, '4' AS target_id, 'me' AS actor, CAST(4 AS BIGINT) AS n_items")
+def composition_items(s: SparkSession, d: str) -> DataFrame:
+    """Items of a composition: one of each supplier, with references some of which are to nothing."""
+    k, ref = F.col("s_suppkey"), F.col("s_nationkey") % 12
+    source = F.when(k % 4 == 0, "doc_generated").when(k % 4 == 1, "uploaded").when(k % 4 == 2, "public").when(k % 8 == 3, "doc_generated").otherwise("mail")
+    doc = source == "doc_generated"
+    return s.read.parquet(f"{d}/supplier.parquet").select(
+        k.cast("int").alias("item_pos"), source.alias("source"), F.when(doc, ref).cast("long").alias("version_id"), F.when(~doc, ref).cast("long").alias("set_id"), F.lit(None).cast("string").alias("dimension")
+    )
+
+
+def known_sources(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions, uploaded sets and public sets of the tables."""
+    versions = s.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 5 <> 4").select(F.col("n_nationkey").cast("long").alias("version_id"), F.when(F.col("n_regionkey") % 2 == 0, "draft").otherwise("frozen").alias("status"))
+    return versions, view(s, d, "upload").select("set_id").distinct(), view(s, d, "public").select("set_id").distinct()
+
+
+@query(_ITEMS + "SELECT item_pos, error FROM e WHERE error IS NOT NULL")
+def jn13_item_errors(s: SparkSession, d: str) -> DataFrame:
+    return U.composition_errors(composition_items(s, d), *known_sources(s, d))
+
+
+@query(_ITEMS + "SELECT 'composition.create' AS operation, '4' AS target_id, 'me' AS actor, CAST(count(*) AS BIGINT) AS n_items, CAST(sum(item_pos) AS BIGINT) AS positions FROM e WHERE error IS NULL")
 def wfl12_composition(s: SparkSession, d: str) -> DataFrame:
-    made = U.created(composition(s, d)[0], 4, "mix", *known_sources(s), created_by="me")
-    return made.audit.join(made.items.agg(F.count(F.lit(1)).alias("n_items"))).select("operation", "target_id", "actor", "n_items")
+    """The items without an error make a composition."""
+    items, known = composition_items(s, d), known_sources(s, d)
+    sound = items.join(U.composition_errors(items, *known).select("item_pos"), "item_pos", "left_anti")
+    made = U.created(sound, 4, "mix", *known, created_by="me")
+    return made.audit.join(made.items.agg(F.count(F.lit(1)).alias("n_items"), F.sum("item_pos").alias("positions"))).select("operation", "target_id", "actor", "n_items", "positions")
 
 
-@query("SELECT * FROM (VALUES (5, 'version not frozen', CAST(0 AS BIGINT)), (6, 'public set not found', CAST(0 AS BIGINT))) t(item_pos, error, n_items)")
+@query(_ITEMS + f"SELECT item_pos, error, CAST(0 AS BIGINT) AS n_items FROM e WHERE error IS NOT NULL ORDER BY item_pos LIMIT {S.MAX_ERRORS}")
 def wfl12_refused(s: SparkSession, d: str) -> DataFrame:
-    more = s.createDataFrame([(5, "doc_generated", 8, None, None), (6, "public", None, 9, None)], "item_pos int, source string, version_id long, set_id long, dimension string")
-    made = U.created(composition(s, d)[0].unionByName(more), 4, "mix", *known_sources(s))
+    """All items together are refused, with the first errors, and nothing is made."""
+    made = U.created(composition_items(s, d), 4, "mix", *known_sources(s, d))
     return made.errors.join(made.items.agg(F.count(F.lit(1)).alias("n_items")))
 
 
@@ -349,12 +375,13 @@ def snk06_quality_report(s: SparkSession, d: str) -> DataFrame:
     return writers.quality_report(cases, checks(s, d))
 
 
-@query("""SELECT 'case_0007_' || lpad(CAST(case_id AS STRING), 6, '0') || ',"a ""' || CAST(case_id AS STRING) || '"", b",' || coalesce(difficulty, '') AS value FROM v_case WHERE case_id < 50000""", "case")
+@query("""SELECT 'case_0007_' || CASE WHEN case_id < 100000 THEN lpad(CAST(case_id AS STRING), 6, '0') ELSE CAST(case_id AS STRING) END || ',"a ""' || CAST(case_id AS STRING) || '"", b",' || coalesce(difficulty, '') AS value FROM v_case
+UNION ALL SELECT chr(65279) || 'case_id,question,difficulty'""", "case")
 def snk03_csv_lines(s: SparkSession, d: str) -> DataFrame:
-    """The lines without the header that each part file has."""
+    """All lines, and the header once, which each part file has."""
     uid = F.format_string("case_%04d_%06d", F.lit(7), "case_id")
-    rows = view(s, d, "case").where("case_id < 50000").select(uid.alias("case_id"), F.concat(F.lit('a "'), F.col("case_id").cast("string"), F.lit('", b')).alias("question"), "difficulty")
-    return writers.csv_lines(rows).where(~F.startswith("value", F.lit("﻿")))
+    rows = view(s, d, "case").select(uid.alias("case_id"), F.concat(F.lit('a "'), F.col("case_id").cast("string"), F.lit('", b')).alias("question"), "difficulty")
+    return writers.csv_lines(rows).distinct()
 
 
 @query(f"""SELECT block_id, {truncated_sql(trim_sql("block_text"))} AS statement, CASE WHEN block_id % 3 = 0 THEN 'P2' ELSE 'P1' END AS content_priority, block_id % 4 <> 0 AS is_questionable,
@@ -369,21 +396,6 @@ def arr02_normalised(s: SparkSession, d: str) -> DataFrame:
     return X.from_replies(replies, "m").select("block_id", "statement", "content_priority", "is_questionable", "exclusion_reason", F.col("extraction_confidence").alias("confidence"), F.col("constraints.subject").alias("subject"))
 
 
-def apart(questions: list[str], texts: list[str]) -> list[float]:
-    """A stand-in for a model of pairs: near lengths are alike."""
-    return [-float(abs(len(q) - len(t))) for q, t in zip(questions, texts, strict=True)]
-
-
-@query("""SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT i.item_id AS query_id, d.doc_id AS item_id, CAST(-abs(length(i.text) - length(d.text)) AS DOUBLE) AS score,
-row_number() OVER (PARTITION BY i.item_id ORDER BY -abs(length(i.text) - length(d.text)) DESC, d.doc_id) AS rank FROM benchmark i JOIN documents d ON d.doc_id % 50 = i.item_id % 50 WHERE d.text IS NOT NULL) WHERE rank <= 3""")
-def top06_reranked(s: SparkSession, d: str) -> DataFrame:
-    """Three of the texts that each question found: the cut is the operator's."""
-    items = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    texts = s.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("item_id"), "text")
-    found = items.join(texts, F.col("query_id") % 50 == F.col("item_id") % 50)
-    return T.reranked(found, apart, 3).select("query_id", "item_id", "score", "rank")
-
-
 def lengths(texts: list[str]) -> list[list[float]]:
     """A stand-in for an encoder."""
     return [[float(len(t)), 100.0] for t in texts]
