@@ -391,5 +391,5 @@ def _joined(vectors: DataFrame, threshold: float, key: str, vector: str, label:
     out = rows.select("id", "label", "raw").join(of, ["label", "raw"], "left")
     component = F.coalesce("least", "id")
     return out.select(
-        F.col("id").alias("vec_id"), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept")
+        F.col("id").alias("vec_id"), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )

@@ -1,7 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of a page.
 
 A page becomes its blocks in order, each with the tags and class names above it and its text. The
-field weighs features of a block (own tag, tags and names above it, length, links, marks, place) and
+field weighs features of a block (own tag, tags and names above it, length, links, marks, place, and on pages that
+nowhere say where their text is, links and length of the blocks around it as well) and
 of neighbouring labels; it is trained in numpy on generated pages whose main text is known, and the
 best labelling is found by Viterbi. Blocks labelled main are the text: character references decoded,
 white space made single spaces, joined by an empty line. Null and empty pages, and pages without any
@@ -16,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +33,46 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select button".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template iframe object svg math head textarea".split())
+UNSEEN = frozenset("script style noscript template iframe object svg math head textarea select datalist".split())
 FOREIGN = frozenset(("svg", "math"))
 #: Open tags that a new tag of the second kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P = BLOCKS - {"button", "option", "select", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "title", "legend"}
 PARTS = frozenset("nav header footer aside form article main body".split())  # a section says nothing by itself
+#: Further tags that features ask for.
+TOLD = PARTS | frozenset("title li button label".split())
 NAMES = {w: kind for kind, words in {**AWAY, "main": MAIN}.items() for w in words}
 SPLIT = re.compile(r"[^a-z0-9]+")
+UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 #: Of generated pages and passes over them.
-PAGES, PASSES, SEED = 700, 150, 11
+PAGES, PASSES, SEED = 900, 150, 11
+
+
+class Above(NamedTuple):
+    """What an open tag and those above it tell of a block: the tag, told tags and kinds of names, the nearest block's tag and the innermost part."""
+
+    tag: str
+    told: frozenset[str]
+    names: frozenset[str]
+    own: str
+    inner: str
+
+
+ROOT = Above("", frozenset(), frozenset(), "", "none")
+#: Above, text and characters in links of a block.
+Block = tuple[Above, str, int]
 
 
 class Blocks(HTMLParser):
-    """Collects (tags above, kinds of class names above, text, characters in links) of each block."""
+    """Collects the blocks of a page. Each open tag holds what is known of all above it, and open tags are counted by kind,
+    so that neither deep nor unclosed tags are gone through again and again."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, frozenset[str]]] = []
-        self.unseen = self.linked = 0
-        self.found: list[tuple[tuple[str, ...], frozenset[str], str, int]] = []
+        self.open: list[Above] = []
+        self.count: Counter[str] = Counter()
+        self.unseen = 0
+        self.found: list[Block] = []
         self.text: list[str] = []
         self.in_links = 0
 
@@ -58,14 +80,13 @@ class Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                names = frozenset().union(*(n for _, n in self.open)) if self.open else frozenset()
-                self.found.append((tuple(t for t, _ in self.open), names, text, self.in_links))
+                self.found.append((self.open[-1] if self.open else ROOT, text, self.in_links))
             self.text, self.in_links = [], 0
 
     def _close(self, i: int) -> None:
-        for tag, _ in self.open[i:]:
-            self.unseen -= tag in UNSEEN
-            self.linked -= tag == "a"
+        for above in self.open[i:]:
+            self.unseen -= above.tag in UNSEEN
+            self.count[above.tag] -= 1
         del self.open[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -78,64 +99,77 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             if tag == "body" and self.unseen:  # an unclosed head
-                self._close(next(i for i, (t, _) in enumerate(self.open) if t in UNSEEN))
+                self._close(next(i for i, above in enumerate(self.open) if above.tag in UNSEEN))
             shut = CLOSES.get(tag, set()) | ({"p"} if tag in NO_P else set())
             stop = {"ul", "ol", "dl", "table", "select"}
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in shut:
+            for i in range(len(self.open) - 1, -1, -1) if any(self.count[t] for t in shut) else ():
+                if self.open[i].tag in shut:
                     self._close(i)
                     break
-                if self.open[i][0] in stop or self.open[i][0] in ("div", "article", "section", "body", "td"):
+                if self.open[i].tag in stop or self.open[i].tag in ("div", "article", "section", "body", "td"):
                     break
         names = frozenset(NAMES[w] for k, v in attrs if k in ("class", "id", "role") and v for w in {v.lower(), *v.lower().split(), *SPLIT.split(v.lower())} if w in NAMES)
-        self.open.append((tag, names))
+        above = self.open[-1] if self.open else ROOT
+        told = above.told | {tag} if tag in TOLD and tag not in above.told else above.told
+        inner = tag if tag in PARTS and tag != "body" else above.inner
+        self.open.append(Above(tag, told, above.names | names if names - above.names else above.names, tag if tag in BLOCKS else above.own, inner))
+        self.count[tag] += 1
         self.unseen += tag in UNSEEN
-        self.linked += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # a slash closes only drawings and formulas and what is inside them
-        if tag not in FOREIGN and not any(t in FOREIGN for t, _ in self.open):
+        if tag not in FOREIGN and not any(self.count[t] for t in FOREIGN):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
+            if self.open[i].tag == tag:
                 self._close(i)
                 break
-            if tag not in BLOCKS and self.open[i][0] in BLOCKS:
+            if tag not in BLOCKS and self.open[i].tag in BLOCKS:
                 break  # an inline end tag does not reach out of its block
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
             self.text.append(data)
-            self.in_links += bool(self.linked) * len(data.strip())
+            self.in_links += bool(self.count["a"]) * len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[tuple[str, ...], frozenset[str], str, int]]:
+def blocks_of(html: str) -> list[Block]:
     parser = Blocks()
-    parser.feed(html)
+    # a tag that the page doesn't finish is no text; parsers look for its end from each of its starts
+    end = html.rfind(">") + 1
+    tail = UNFINISHED.search(html, end)
+    parser.feed(html[: tail.start()] if tail else html)
     parser.close()
     parser.flush()
     return parser.found
 
 
-def features_of(blocks: list[tuple[tuple[str, ...], frozenset[str], str, int]]) -> list[list[str]]:
+def features_of(blocks: list[Block]) -> list[list[str]]:
     """Names of what holds for each block."""
     out = []
-    for i, (tags, names, text, linked) in enumerate(blocks):
+    shares = [linked / len(text) for _, text, linked in blocks]
+    long = [len(text) >= 80 and share < 0.4 for (_, text, _), share in zip(blocks, shares, strict=True)]
+    is_main = [bool(above.told & {"article", "main"} or "main" in above.names) for above, _, _ in blocks]
+    anywhere = any(is_main)
+    for i, (above, text, linked) in enumerate(blocks):
         words = text.count(" ") + 1
-        own = next((t for t in reversed(tags) if t in BLOCKS), "")
-        f = ["bias", f"own={own}", f"words={min(words.bit_length(), 6)}", f"links={round(4 * min(1, linked / len(text)))}"]
-        above = PARTS.intersection(tags)
-        f += [f"above={t}" for t in above] + [f"name={n}" for n in names]
+        f = ["bias", f"own={above.own}", f"words={min(words.bit_length(), 6)}", f"links={round(4 * min(1, linked / len(text)))}"]
+        parts, names = above.told & PARTS, above.names
+        f += [f"above={t}" for t in parts] + [f"name={n}" for n in names]
         # the innermost part decides: an aside in an article, an article in a form's page
-        inner = next((t for t in reversed(tags) if t in PARTS and t != "body"), "none")
-        f += [f"inner={inner}", "away" if names - {"main"} or above & {"nav", "header", "footer", "aside", "form"} else "not away"]
+        away = bool(names - {"main"} or parts & {"nav", "header", "footer", "aside", "form"})
+        f += [f"inner={above.inner}", "away" if away else "not away"]
         f += ["ends" if text[-1] in ".!?" else "open end", "first" if i == 0 else "later"]
-        f += [k for k, on in (("copyright", "©" in text), ("title", "title" in tags), ("list", "li" in tags), ("button", "button" in tags or "label" in tags)) if on]
-        f += ["no main above"] if not above & {"article", "main"} and "main" not in names else ["main above"]
+        f += [k for k, on in (("copyright", "©" in text), ("title", "title" in above.told), ("list", "li" in above.told), ("button", above.told & {"button", "label"})) if on]
+        if anywhere:
+            f += ["main above" if is_main[i] else "no main above"]
+        else:  # the page says nowhere where its text is: what a block is like, and its neighbours
+            f += ["bare", f"bare {'away' if away else 'free'} own={above.own}", f"bare links={round(4 * min(1, shares[i]))} {'away' if away else 'free'}", f"bare words={min(words.bit_length(), 6)}"]
+            f += [f"bare long={long[i]} around={int(any(long[max(0, i - 2) : i])) + int(any(long[i + 1 : i + 3]))}", f"bare linked around={round(2 * sum(shares[max(0, i - 1) : i + 2]) / len(shares[max(0, i - 1) : i + 2]))}"]
         out.append(f)
     return out
 
@@ -205,9 +239,9 @@ class ChainField:
 def labelled(seed: int) -> tuple[list, list[int]]:
     """Blocks of a generated page and whether each is main text."""
     blocks, labels = [], []
-    for tags, names, text, linked in blocks_of(page(seed)):
+    for above, text, linked in blocks_of(page(seed)):
         labels.append(int("\x01" in text))
-        blocks.append((tags, names, text.replace("\x01", "").replace("\x02", "") or "-", linked))
+        blocks.append((above, text.replace("\x01", "").replace("\x02", "") or "-", linked))
     return blocks, labels
 
 
@@ -220,7 +254,7 @@ def trained(pages: int = PAGES) -> ChainField:
 
 def main_text(html: str, field: ChainField) -> str:
     blocks = blocks_of(html)
-    return "\n\n".join(b[2] for b, main in zip(blocks, field.decode(features_of(blocks)), strict=True) if main)
+    return "\n\n".join(b[1] for b, main in zip(blocks, field.decode(features_of(blocks)), strict=True) if main)
 
 
 def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:

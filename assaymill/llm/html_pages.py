@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 #: Marks of what is not main text, as class or id names; fixed values.
 AWAY = {
@@ -64,6 +65,35 @@ def away(r: random.Random, kind: str) -> str:
     return f"{opening}{inner}</{tag}>"
 
 
+def bare(r: random.Random, title: str, block: Callable[[], str]) -> str:
+    """The body of a page that names its text neither by tag nor by class: paragraphs in the body, in plain boxes or in a grid,
+    between link lists, forms and small print, some of which are named and some not."""
+
+    def around() -> str:
+        kind = r.random()
+        if kind < 0.4:
+            return away(r, r.choice(("menu", "header", "notice", "advert", "sidebar", "form", "footer")))
+        if kind < 0.6:
+            return r.choice((links(r, r.randint(3, 9)), "<p>" + " | ".join(f'<a href="/{word(r)}">{word(r)}</a>' for _ in range(r.randint(2, 7))) + "</p>"))
+        if kind < 0.75:
+            return f'<div><a href="/">{word(r)}</a> {" ".join(f"<a href=/{word(r)}>{word(r)}</a>" for _ in range(r.randint(1, 6)))}</div>'
+        return r.choice((f"<p>&copy; 20{r.randint(10, 25)} {word(r)}</p>", f"<div>{word(r)}</div>", f"<form><label>{word(r)}</label><select><option>{word(r)}<option>{word(r)}</select><button>{word(r)}</button></form>"))
+
+    inner = [f"<h1>\x01{title}\x02</h1>"] if r.random() < 0.8 else []
+    inner += [block() for _ in range(r.randint(1, 14))]
+    kind = r.random()
+    text = "".join(inner)
+    if kind < 0.4:
+        text = f"<div{r.choice(('', ' class=c' + str(r.randint(1, 9)), f' id={word(r)}x'))}>{text}</div>"
+    elif kind < 0.7:
+        side = f'<div class="col-md-{r.randint(2, 5)}">{around()}</div>' if r.random() < 0.5 else ""
+        text = f'<div class="container"><div class="row"><div class="col-md-{r.randint(6, 9)}">{text}</div>{side}</div></div>'
+    elif kind < 0.8:
+        text = f"<table><tr><td>{around()}</td><td>{text}</td></tr></table>"
+    before, after = "".join(around() for _ in range(r.randint(0, 3))), "".join(around() for _ in range(r.randint(0, 3)))
+    return before + text + after
+
+
 def page(seed: int) -> str:
     """One page; main text is what stands between the marks \\x01 and \\x02, which ``label`` takes out."""
     r = random.Random(seed)
@@ -102,4 +132,6 @@ def page(seed: int) -> str:
     body = "".join([*before, opening, *inner, closing, *after])
     if r.random() < 0.3:
         body = f'<div class="{r.choice(("wrapper", "page", "container", "site", word(r)))}">{body}</div>'
+    if r.random() < 0.22:
+        body = bare(r, title, block)
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"

@@ -1,5 +1,9 @@
 """Main text of pages written by hand, in layouts and words that the training pages don't have."""
 
+import time
+from itertools import product
+
+import numpy as np
 import pytest
 
 from assaymill.llm import html
@@ -40,7 +44,7 @@ PAGES = {
 def test_pages_by_hand():
     field, right, wrong = html.trained(), 0, []
     for name, (page, want) in PAGES.items():
-        blocks = [b[2] for b in html.blocks_of(page)]
+        blocks = [b[1] for b in html.blocks_of(page)]
         got = html.main_text(page, field).split("\n\n")
         for b in blocks:
             right += (b in want) == (b in got)
@@ -52,8 +56,55 @@ def test_pages_by_hand():
 def test_self_closed_elements():
     field = html.trained()
     assert html.main_text("<article><svg/><p>Hello there, again and again.</p></article>", field) == "Hello there, again and again."
-    assert html.blocks_of("<p>a<svg><g/><text>no</text></svg>b</p>")[0][2] == "ab"
-    assert html.blocks_of("<div/>text")[0][2] == "text"
+    assert html.blocks_of("<p>a<svg><g/><text>no</text></svg>b</p>")[0][1] == "ab"
+    assert html.blocks_of("<div/>text")[0][1] == "text"
+
+
+BARE = {
+    "body": "<html><body><p>The first paragraph tells of a town by the sea.</p><p>The second one goes on about its harbour, which is old.</p></body></html>",
+    "boxes": "<body><div class='c1'><p>The first paragraph tells of a town by the sea.</p><p>The second one goes on about its harbour, which is old.</p></div></body>",
+    "grid": "<body><ul><li><a href=/>Start</a></li><li><a href=/a>About</a></li><li><a href=/b>Contact</a></li></ul><div class=container><div class=row><div class='col-md-8'><p>The first paragraph tells of a town by the sea.</p>"
+    "<p>The second one goes on about its harbour, which is old.</p></div><div class='col-md-4'><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div></div></div><p>&copy; 2020 Town</p></body>",
+    "table": "<table><tr><td><a href=/>Home</a> <a href=/x>News</a></td><td><p>The first paragraph tells of a town by the sea.</p><p>The second one goes on about its harbour, which is old.</p></td></tr></table>",
+}
+
+
+@pytest.mark.parametrize("name", BARE)
+def test_pages_that_name_nothing(name):
+    """Neither tags nor classes say where the text is."""
+    assert html.main_text(BARE[name], html.trained()) == "The first paragraph tells of a town by the sea.\n\nThe second one goes on about its harbour, which is old."
+
+
+def test_choices_of_forms_are_no_text():
+    page = "<article><p>Choose a colour, says the text here.</p><select><option>red<option>blue</select><p>Then go on with the rest of it.</p></article>"
+    assert html.main_text(page, html.trained()) == "Choose a colour, says the text here.\n\nThen go on with the rest of it."
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20_000, "<a " * 40_000, "<p><b>x" * 15_000, "<div><span>" * 10_000 + "x", "</i>" * 30_000 + "<p>x", "<!--" * 20_000, "<ul><li>x" * 15_000, "<a href='" * 20_000 + ">", "<article>" + "x <i>y " * 20_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html.features_of(html.blocks_of(page))
+    assert time.process_time() - began < 4
+
+
+def test_unfinished_tags_are_no_text():
+    assert [b[1] for b in html.blocks_of("<p>one</p>two <b class=x")] == ["one", "two"]
+    assert [b[1] for b in html.blocks_of("a < b and 3 <4")] == ["a < b and 3 <4"]
+
+
+def test_decoding_against_all_labellings():
+    """Viterbi finds the labelling of the greatest weight, and weights of a fitted field make its labels likeliest."""
+    g = np.random.default_rng(1)
+    field = html.ChainField({f"f{i}": i for i in range(6)}, g.normal(size=(6, 2)), g.normal(size=(2, 2)))
+    for _ in range(200):
+        page = [[f"f{j}" for j in range(6) if g.random() < 0.4] for _ in range(g.integers(1, 8))]
+
+        def total(labels, page=page):
+            local = sum(field.weight[field.index[f], y] for b, y in zip(page, labels, strict=True) for f in b)
+            return local + sum(field.pair[a, b] for a, b in zip(labels, labels[1:], strict=False))
+
+        best = max(product((0, 1), repeat=len(page)), key=total)
+        assert total(field.decode(page)) == pytest.approx(total(best))
 
 
 def test_empty_table(spark):
