@@ -37,6 +37,7 @@ def str01_statement_key(s: SparkSession, d: str) -> DataFrame:
     return phrases(s, d, key=text.statement_key(phrase()))
 
 
+SOME = "[^" + W[1:]
 _PREFIX = f"^(?:[（(]{W}*[一二三四五六七八九十0-9]+{W}*[）)]|[①②③④⑤⑥⑦⑧⑨⑩]+|[0-9]+{W}*[、.．])"
 _BARE = trim_sql(f"regexp_replace({trim_sql('phrase')}, '{_PREFIX}', '')")
 
@@ -81,21 +82,24 @@ def str09_tokens(s: SparkSession, d: str) -> DataFrame:
     return phrases(s, d, tokens=F.array_join(text.tokens(phrase()), "|"))
 
 
-@query("SELECT phrase_id, CASE WHEN starts_with(phrase, '## ') THEN 'title' WHEN starts_with(phrase, '- ') OR regexp_matches(phrase, '^[0-9]+[.)] ') THEN 'list_item' WHEN phrase <> '' THEN 'paragraph' END AS kind, CASE WHEN starts_with(phrase, '## ') THEN 2 END AS level, "
-       "CASE WHEN starts_with(phrase, '## ') THEN substr(phrase, 4) ELSE nullif(trim(phrase), '') END AS text FROM v_phrase", "phrase")
+@query(rf"""SELECT phrase_id, CASE WHEN regexp_matches(t, '^#{{1,6}}{W}+{SOME}') THEN 'title' WHEN t = '' THEN NULL WHEN regexp_matches(t, '^([-*+]|[0-9]+[.)]){W}+') THEN 'list_item' ELSE 'paragraph' END AS kind,
+CASE WHEN regexp_matches(t, '^#{{1,6}}{W}+{SOME}') THEN CAST(length(regexp_extract(t, '^(#+)', 1)) AS INTEGER) END AS level, nullif(CASE WHEN regexp_matches(t, '^#{{1,6}}{W}+{SOME}') THEN {trim_sql("regexp_replace(t, '^#+', '')")} ELSE t END, '') AS text
+FROM (SELECT phrase_id, {trim_sql('phrase')} AS t FROM v_phrase)""", "phrase")
 def str10_line_kinds(s: SparkSession, d: str) -> DataFrame:
     k = text.line_kind(phrase())
     return phrases(s, d, kind=k["block_type"], level=k["level"], text=k["text"])
 
 
-@query("""SELECT phrase_id, array_to_string(regexp_extract_all(phrase, '"statement":"([a-z0-9]+)"', 1), '|') AS statements FROM v_phrase""", "phrase")
+@query("""SELECT phrase_id, array_to_string(CASE WHEN NOT json_valid(phrase) THEN [] WHEN json_type(phrase) = 'ARRAY' THEN json_extract_string(phrase, '$[*].statement') WHEN json_type(phrase) = 'OBJECT' THEN json_extract_string(phrase, '$.items[*].statement') ELSE [] END, '|') AS statements FROM v_phrase""", "phrase")
 def str12_replies(s: SparkSession, d: str) -> DataFrame:
     """Replies of every odd phrase stand in a code fence."""
     fenced = F.when(F.col("phrase_id") % 32 < 16, F.concat(F.lit("```json\n"), phrase(), F.lit("\n```"))).otherwise(phrase())
     return phrases(s, d, statements=F.array_join(F.transform(text.json_list(fenced, "struct<statement:string>"), lambda x: x["statement"]), "|"))
 
 
-@query("SELECT phrase_id, phrase AS reply FROM v_phrase", "phrase")
+@query("""SELECT phrase_id, CASE WHEN json_valid(r) THEN coalesce(json_extract_string(r, '$.output'), json_extract_string(r, '$.choices[0].message.content'), json_extract_string(r, '$.choices[0].text'), r) ELSE r END AS reply
+FROM (SELECT phrase_id, CASE phrase_id % 4 WHEN 0 THEN CAST(json_object('output', phrase) AS VARCHAR) WHEN 1 THEN CAST(json_object('choices', json_array(json_object('message', json_object('content', phrase)))) AS VARCHAR)
+WHEN 2 THEN CAST(json_object('choices', json_array(json_object('text', phrase))) AS VARCHAR) ELSE phrase END AS r FROM v_phrase)""", "phrase")
 def str13_reply_text(s: SparkSession, d: str) -> DataFrame:
     k = F.col("phrase_id") % 4
     shapes = F.when(k == 0, F.to_json(F.struct(phrase().alias("output")))).when(k == 1, F.to_json(F.struct(F.array(F.struct(F.struct(phrase().alias("content")).alias("message"))).alias("choices"))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,12 +32,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def temporary(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets, for tables that a query builds and reads; it goes when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def end() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            delete(spark, path)
-
-    atexit.register(end)
-    return path
+    """A path in the shared folder that no other call gets, for tables that a query builds and reads; the file system deletes it when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/tables"

@@ -57,9 +57,17 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
 }
 
 
+#: Lines of all documents, whole, beside the phrases that rules tell apart.
+LINES_SQL = """SELECT 1000000 + doc_id * 100000 + i AS phrase_id, line AS phrase FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, expressions = VIEWS[name]
-    return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*expressions)
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*expressions)
+    if name == "phrase":
+        lines = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").selectExpr("doc_id", "posexplode(split(text, '\n')) AS (i, phrase)")
+        rows = rows.unionByName(lines.selectExpr("1000000 + doc_id * 100000 + i + 1 AS phrase_id", "phrase"))
+    return rows
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +78,7 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_view(name: str) -> str:
     source, expressions = VIEWS[name]
-    return f"SELECT {', '.join(expressions)} FROM {source}"
+    return f"SELECT {', '.join(expressions)} FROM {source}" + (f" UNION ALL {LINES_SQL}" if name == "phrase" else "")
 
 
 CHECKS_SQL = """SELECT doc_id AS case_id, 'faithfulness' AS check_type, quality = 1 AS passed, 'faithfulness failed' AS reason FROM labels
