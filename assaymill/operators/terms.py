@@ -52,7 +52,7 @@ def build(texts: DataFrame, path: str, key: str = "block_id", text: str = "text"
     placed = postings_of(rows).withColumn("bucket", bucket(F.col("term")))
     placed.repartition("bucket", F.pmod(F.xxhash64("term", "block_id"), F.lit(SHARES))).sortWithinPartitions("bucket", "term", "block_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = texts.sparkSession
-    postings = spark.read.schema(f"term string, block_id {rows.schema['block_id'].dataType.simpleString()}, n long, length long, positions array<int>, bucket int").parquet(f"{path}/postings")
+    postings = _postings(spark, path, rows.schema["block_id"].dataType.simpleString())
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("occurrences"))
     terms.withColumn("bucket", bucket(F.col("term"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     lengths = rows.select("block_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("long").alias("length"))
@@ -62,9 +62,13 @@ def build(texts: DataFrame, path: str, key: str = "block_id", text: str = "text"
 
 def opened(spark: SparkSession, path: str) -> TermIndex:
     """An index that was built before."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    blocks = read("blocks")
-    return TermIndex(read("postings"), read("terms"), blocks, blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")))
+    blocks = spark.read.parquet(f"{path}/blocks")
+    terms = spark.read.schema("term string, blocks long, occurrences long, bucket int").parquet(f"{path}/terms")
+    return TermIndex(_postings(spark, path, blocks.schema["block_id"].dataType.simpleString()), terms, blocks, blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")))
+
+
+def _postings(spark: SparkSession, path: str, key: str) -> DataFrame:
+    return spark.read.schema(f"term string, block_id {key}, n long, length long, positions array<int>, bucket int").parquet(f"{path}/postings")
 
 
 def bucket(term: Column) -> Column:
