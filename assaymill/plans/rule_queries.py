@@ -16,7 +16,7 @@ from assaymill.operators import generation as G
 from assaymill.operators import ingest as I
 from assaymill.operators import quality as Q
 from assaymill.operators import vectors as T
-from assaymill.plans.queries import _KINDS, RESULTS, SPACE, W, classified_sql, query, report_tables, scored_results, skip_sql, trim_sql, truncated_sql
+from assaymill.plans.queries import _KINDS, RESULTS, SPACE, W, classified_sql, covering, query, report_tables, scored_results, skip_sql, trim_sql, truncated_sql
 from assaymill.plans.views import checks, view
 from assaymill.sources import readers, writers
 
@@ -139,13 +139,14 @@ def jn03_checks_of_document(s: SparkSession, d: str) -> DataFrame:
     return Q.checks_of(rows, view(s, d, "case"), 3).select("case_id", "check_type", "passed")
 
 
-@query("""SELECT block_id AS case_id, block_id % 4 IN (1, 3) AS falls_back, CASE WHEN block_id % 4 IN (0, 2) THEN 2 END AS start_offset, CASE WHEN block_id % 4 IN (0, 2) THEN length(block_text) END AS end_offset FROM v_block""", "block")
+@query(""", q AS (SELECT block_id, block_text, CASE WHEN block_id % 6 = 5 THEN ' ' ELSE 'point' END AS point, right(CAST(block_id * 37 AS STRING), 2) AS quote FROM v_block)
+SELECT block_id AS case_id, strpos(block_text, quote) = 0 OR trim(point) = '' AS falls_back, CASE WHEN strpos(block_text, quote) > 0 AND trim(point) <> '' THEN CAST(strpos(block_text, quote) - 1 AS INTEGER) END AS start_offset,
+CASE WHEN strpos(block_text, quote) > 0 AND trim(point) <> '' THEN CAST(strpos(block_text, quote) - 1 + length(quote) AS INTEGER) END AS end_offset FROM q""", "block")
 def jn12_evidence(s: SparkSession, d: str) -> DataFrame:
-    """Quotes that stand in the block, that don't, and points without a text."""
-    blocks = view(s, d, "block")
-    k = F.col("block_id") % 4
-    quote = F.when(k == 1, F.lit("not there")).otherwise(F.substring("block_text", 3, 1000))
-    points = blocks.select(F.col("block_id").alias("case_id"), "document_id", "block_id", F.when(k == 3, " ").otherwise("point").alias("must_have_point"), quote.alias("original_text"))
+    """Quotes of two digits, which some blocks hold and others don't, and some points without a text."""
+    blocks, k = view(s, d, "block"), F.col("block_id")
+    quote = F.right((k * 37).cast("string"), F.lit(2))
+    points = blocks.select(k.alias("case_id"), "document_id", "block_id", F.when(k % 6 == 5, " ").otherwise("point").alias("must_have_point"), quote.alias("original_text"))
     first = F.element_at("points", 1)
     return G.evidence(points, blocks).select("case_id", "falls_back", first["start_offset"].alias("start_offset"), first["end_offset"].alias("end_offset"))
 
@@ -180,12 +181,13 @@ def snk01_jsonl(s: SparkSession, d: str) -> DataFrame:
     return writers.jsonl_rows(cases, limit=None)
 
 
-@query("""SELECT d.file_name AS document_name, b.section_path, CAST(count(*) AS BIGINT) AS n FROM v_case c JOIN v_eiu e USING (eiu_id) JOIN v_block b USING (block_id) JOIN v_document d ON d.document_id = b.document_id GROUP BY 1, 2""", "case", "eiu", "block", "document")
+@query("""SELECT d.file_name AS document_name, b.section_path, CAST(count(*) AS BIGINT) AS n, md5(string_agg(c.case_id || ':' || question || ':' || gold_answer, '|' ORDER BY CAST(c.case_id AS VARCHAR), question)) AS cases_md5 FROM v_case c JOIN v_eiu e USING (eiu_id) JOIN v_block b USING (block_id) JOIN v_document d ON d.document_id = b.document_id GROUP BY 1, 2""", "case", "eiu", "block", "document")
 def snk02_nested(s: SparkSession, d: str) -> DataFrame:
     eiu = V.active(view(s, d, "eiu").withColumn("review_status", F.lit("candidate")), view(s, d, "block"), view(s, d, "document"))
     cases = view(s, d, "case").select(F.col("case_id").cast("string").alias("case_uid"), "question", "gold_answer", F.array("eiu_id").alias("eiu_ids"))
     rows = writers.nested(cases, eiu).select("document_name", F.explode("sections").alias("x"))
-    return rows.select("document_name", "x.section_path", F.size("x.cases").cast("long").alias("n"))
+    text = F.array_join(F.transform("x.cases", lambda c: F.concat_ws(":", c["case_uid"], c["question"], c["gold_answer"])), "|")
+    return rows.select("document_name", "x.section_path", F.size("x.cases").cast("long").alias("n"), F.md5(text).alias("cases_md5"))
 
 
 @query("SELECT eiu_id, b.document_id, CAST(NULL AS STRING) AS tag FROM v_eiu LEFT JOIN v_block b USING (block_id)", "eiu", "block")
@@ -194,20 +196,20 @@ def snk19_migrated(s: SparkSession, d: str) -> DataFrame:
     return writers.migrated(view(s, d, "eiu"), wanted, view(s, d, "block")).select("eiu_id", "document_id", "tag")
 
 
-UPLOADS = """(SELECT document_id, CASE document_id % 4 WHEN 0 THEN 'h' || document_id ELSE 'new' || document_id END AS file_hash, CASE WHEN document_id % 4 = 3 THEN 'n' || document_id ELSE file_name END AS file_name,
-CASE WHEN document_id % 4 = 2 THEN 'ELSEWHERE' ELSE folder_path END AS folder_path FROM v_document)"""
+UPLOADS = """(SELECT o_orderkey AS upload_id, 'h' || o_custkey % 40 AS file_hash, coalesce(n_name, 'new') AS file_name, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A/B' ELSE '' END AS folder_path FROM orders LEFT JOIN nation ON n_nationkey = o_orderkey % 30)"""
 
 
-@query(f"SELECT document_id, ['duplicate', 'conflict', 'elsewhere', 'ok'][document_id % 4 + 1] AS status, ['skip', 'confirm', 'confirm', 'direct'][document_id % 4 + 1] AS action FROM {UPLOADS}", "document")
+@query(f""", u AS {UPLOADS}, k AS (SELECT *, 'h' || document_id AS file_hash FROM v_document), s AS (SELECT upload_id, CASE WHEN file_hash IN (SELECT file_hash FROM k) THEN 'duplicate' WHEN EXISTS (SELECT 1 FROM k WHERE k.file_name = u.file_name AND k.folder_path = u.folder_path) THEN 'conflict'
+WHEN file_name IN (SELECT file_name FROM k) THEN 'elsewhere' ELSE 'ok' END AS status FROM u) SELECT upload_id, status, CASE status WHEN 'duplicate' THEN 'skip' WHEN 'ok' THEN 'direct' ELSE 'confirm' END AS action FROM s""", "document")
 def wfl20_triaged(s: SparkSession, d: str) -> DataFrame:
-    documents = view(s, d, "document")
-    k, number = F.col("document_id") % 4, F.col("document_id").cast("string")
-    uploads = documents.select(
-        "document_id", F.when(k == 0, F.concat(F.lit("h"), number)).otherwise(F.concat(F.lit("new"), number)).alias("file_hash"),
-        F.when(k == 3, F.concat(F.lit("n"), number)).otherwise(F.col("file_name")).alias("file_name"), F.when(k == 2, "ELSEWHERE").otherwise(F.col("folder_path")).alias("folder_path"),
-    )
-    known = documents.withColumn("file_hash", F.concat(F.lit("h"), number))
-    return I.triaged(I.prechecked(uploads, known)).select("document_id", "status", "action")
+    """An upload of each order, with contents, names and folders of which some are known."""
+    k = F.col("o_orderkey")
+    names = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 0).alias("n"), "n_name")
+    uploads = s.read.parquet(f"{d}/orders.parquet").join(names, F.col("n") == k % 30, "left").select(
+        k.alias("upload_id"), F.concat(F.lit("h"), F.col("o_custkey") % 40).alias("file_hash"), F.coalesce("n_name", F.lit("new")).alias("file_name"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "A/B").otherwise("").alias("folder_path")
+    )
+    known = view(s, d, "document").withColumn("file_hash", F.concat(F.lit("h"), F.col("document_id").cast("string")))
+    return I.triaged(I.prechecked(uploads, known)).select("upload_id", "status", "action")
 
 
 @query("SELECT block_id, CASE WHEN block_id % 3 = 0 THEN 'asked ' || block_id ELSE block_text END AS source_text FROM v_block", "block")
@@ -217,21 +219,23 @@ def wfl05_source_text(s: SparkSession, d: str) -> DataFrame:
     return X.source_text(rows).select("block_id", "source_text")
 
 
-@query("SELECT doc_id AS case_id, 10 * doc_id + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END AS replaced_by FROM labels WHERE doc_id % 4 IN (0, 1)")
+@query("""WITH a AS (SELECT doc_id AS origin_id, attempt, 10 * doc_id + attempt AS case_id FROM labels, (SELECT unnest([1, 2, 3]) AS attempt)),
+c AS (SELECT case_id, CASE WHEN (origin_id * 7 + attempt * 5 + k) % 4 = 0 THEN false ELSE true END AS passed FROM a, (SELECT unnest([0, 1]) AS k)), g AS (SELECT origin_id, attempt, case_id FROM a WHERE attempt <= 2 AND case_id NOT IN (SELECT case_id FROM c WHERE NOT passed))
+SELECT origin_id AS case_id, arg_min(case_id, attempt) AS replaced_by FROM g GROUP BY origin_id""")
 def wfl08_regenerated(s: SparkSession, d: str) -> DataFrame:
-    """Attempts at new angles: the first that passes counts, a third one is too late."""
+    """Three attempts at new angles, each checked twice: the first of two that passes both counts, a third one is too late."""
     cases = checks(s, d).select("case_id").distinct()
     attempts = cases.select(F.col("case_id").alias("origin_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt")).withColumn("case_id", F.col("origin_id") * 10 + F.col("attempt"))
-    k = F.col("origin_id") % 4
-    passed = F.when(k == 0, F.lit(True)).when(k == 1, F.col("attempt") >= 2).otherwise(F.col("attempt") == 3)
-    judged = attempts.select("case_id", F.lit("faithfulness").alias("check_type"), passed.alias("passed"), F.lit("").alias("reason"))
+    passed = (F.col("origin_id") * 7 + F.col("attempt") * 5 + F.col("k")) % 4 != 0
+    judged = attempts.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("case_id", F.when(F.col("k") == 0, "faithfulness").otherwise("uniqueness").alias("check_type"), passed.alias("passed"), F.lit("").alias("reason"))
     return Q.regenerated(cases, attempts, judged)
 
 
-_COUNTS = "SELECT count(*) AS n, sum(CASE WHEN is_questionable THEN 1 ELSE 0 END) AS q FROM v_eiu JOIN v_block USING (block_id) JOIN v_document d ON d.document_id = v_block.document_id WHERE v_eiu.review_status <> 'blocked'"
-
-
-@query(f"SELECT CAST(n AS BIGINT) AS total_eiu, CAST(q AS BIGINT) AS questionable_eiu, 3 AS priorities, 10 AS types, false AS gate_passed FROM ({_COUNTS})", "eiu", "block", "document")
+@query(*covering("""SELECT CAST(n AS BIGINT) AS total_eiu, CAST(q AS BIGINT) AS questionable_eiu, CAST(np AS INTEGER) AS priorities, CAST(nt AS INTEGER) AS types, w >= 0.85 AND p >= 1 AND r >= 1 AS gate_passed FROM (
+SELECT count(*) AS n, count(CASE WHEN is_questionable THEN 1 END) AS q, count(DISTINCT content_priority) AS np, count(DISTINCT eiu_type) AS nt, round(sum(CASE WHEN is_questionable AND c THEN w ELSE 0 END) / CAST(sum(CASE WHEN is_questionable THEN w END) AS DOUBLE), 4) AS w,
+round(sum(CASE WHEN is_questionable AND c AND content_priority = 'P0' THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN is_questionable AND content_priority = 'P0' THEN 1 END) AS DOUBLE), 4) AS p,
+round(count(DISTINCT block_id) / CAST((SELECT count(*) FROM v_block WHERE block_type <> 'title') AS DOUBLE), 4) AS r FROM (
+SELECT *, coalesce(weight, CASE content_priority WHEN 'P0' THEN 5 WHEN 'P1' THEN 3 ELSE 1 END) AS w, eiu_id IN (SELECT eiu_id FROM covered) AS c FROM active))"""))
 def wfl17_report(s: SparkSession, d: str) -> DataFrame:
     """The whole report is one nested row, which is appended to the table of reports."""
     row = V.report(*report_tables(s, d))
