@@ -23,10 +23,10 @@ import pyarrow as pa
 
 from .bytewise import joined
 
-#: Units kept in a worker, beyond which the store starts anew, and the longest one that is kept.
-UNIT_LIMIT, UNIT_BYTES = 500_000, 200
+#: Units of a generation that a worker keeps, beyond which it forgets those not asked for since the one before; and the longest one that is kept.
+UNIT_LIMIT, UNIT_BYTES = 150_000, 200
 #: Bytes of texts that are cut together, and units that are joined together.
-TEXT_BYTES, UNITS_AT_ONCE = 1_500_000, 400_000
+TEXT_BYTES, UNITS_AT_ONCE = 600_000, 200_000
 OTHER, LETTER, DIGIT, SIGN, APOSTROPHE, SPACE, FEED = range(7)
 KINDS = np.zeros(256, np.uint8)
 KINDS[33:127] = SIGN
@@ -94,11 +94,15 @@ class Encoder:
         self.shown = alphabet()
         self.blank = chr(self.shown[32])
         self.units: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, unit: bytes) -> bytes:
+        if unit in self.older:
+            self.units[unit] = made = self.older[unit]
+            return made
         text = unit.decode()
         if PIECE.fullmatch(text):  # the library's own pattern leaves it whole, so its model can have it at once
             shown = text.replace(" ", self.blank) if text.isascii() else unit.decode("latin-1").translate(self.shown)
@@ -123,8 +127,8 @@ class Encoder:
             data = pa.py_buffer(whole[some[0] : some[-1]])
             units = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer((some - some[0]).astype(np.int32)), data]).dictionary_encode()
             known = slices(units.dictionary)
-            if len(self.units) + len(known) > UNIT_LIMIT:
-                self.units.clear()
+            if len(self.units) > UNIT_LIMIT:
+                self.older, self.units = self.units, {}
             made = [*map(self.units.get, known)]
             if None in made:
                 made = [self.learn(u) if m is None else m for u, m in zip(known, made, strict=True)]
