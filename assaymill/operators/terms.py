@@ -148,7 +148,7 @@ def shared_terms(index: TermIndex, k: int, most: int, items: DataFrame | None =
     in it count then.
     """
     total = float(index.totals.first().blocks)
-    rare = index.terms.where(F.col("blocks").between(2, most)).select("bucket", "term", F.round(idf(F.col("blocks").cast("double"), F.lit(total)), 9).alias("weight"))
+    rare = index.terms.where(F.col("blocks").between(2, most)).select("bucket", "term", F.round(idf(F.col("blocks").cast("double"), F.lit(total)) * 1e9).cast("long").alias("weight"))
     some = index.postings.select("bucket", "term", "block_id").join(rare, ["bucket", "term"])
     if items is None:
         some = some.withColumns({"same": F.lit(None).cast("string"), "other": F.lit(None).cast("string")})
@@ -159,6 +159,6 @@ def shared_terms(index: TermIndex, k: int, most: int, items: DataFrame | None =
     pairs = lists.select("weight", "ids", F.explode("ids").alias("q")).select("weight", "q", F.explode("ids").alias("i")).where("q.id <> i.id")
     pairs = pairs.where("q.same = i.same") if same else pairs
     pairs = pairs.where(~F.coalesce(F.col("q.other") == F.col("i.other"), F.lit(False)))
-    weighed = pairs.groupBy(F.col("q.id").alias("query_id"), F.col("i.id").alias("item_id")).agg(F.round(F.sum("weight"), 6).alias("weight"))
+    weighed = pairs.groupBy(F.col("q.id").alias("query_id"), F.col("i.id").alias("item_id")).agg((F.sum("weight") / 1e9).alias("weight"))  # whole billionths, so sums don't hang on their order
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "item_id"))
     return weighed.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -81,7 +81,7 @@ _PAIRS = ", ".join(f"'{'+'.join(sorted(p))}'" for p in S.COMPLEMENTS)
 x AS (SELECT a.id AS q, b.id AS i, round(list_inner_product(a.v, b.v), 12) AS score FROM s a JOIN s b ON a.id <> b.id AND a.label = b.label AND a.doc <> b.doc),
 near AS (SELECT q, i FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i) AS r FROM x) WHERE r <= 5),
 t AS (SELECT DISTINCT id, unnest({TOKENS}) AS term FROM s), f AS (SELECT term, count(*) AS n FROM t GROUP BY term HAVING count(*) BETWEEN 2 AND 20), u AS (SELECT count(*) AS n FROM s),
-c AS (SELECT a.id AS q, b.id AS i, round(sum(round(ln(1 + (u.n - f.n + 0.5) / (f.n + 0.5)), 9)), 6) AS weight FROM t a JOIN t b USING (term) JOIN f USING (term) JOIN s y ON y.id = a.id JOIN s z ON z.id = b.id, u WHERE a.id <> b.id AND y.label = z.label AND y.doc <> z.doc GROUP BY 1, 2),
+c AS (SELECT a.id AS q, b.id AS i, sum(CAST(round(ln(1 + (u.n - f.n + 0.5) / (f.n + 0.5)) * 1e9) AS BIGINT)) / 1e9 AS weight FROM t a JOIN t b USING (term) JOIN f USING (term) JOIN s y ON y.id = a.id JOIN s z ON z.id = b.id, u WHERE a.id <> b.id AND y.label = z.label AND y.doc <> z.doc GROUP BY 1, 2),
 words AS (SELECT q, i, weight FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY weight DESC, i) AS r FROM c) WHERE r <= 5),
 m AS (SELECT least(q, i) AS item_a, greatest(q, i) AS item_b, bool_or(v) AS by_vector, bool_or(NOT v) AS by_terms, max(weight) AS weight FROM (SELECT q, i, true AS v, NULL AS weight FROM near UNION ALL SELECT q, i, false, weight FROM words) GROUP BY 1, 2)
 SELECT item_a, item_b, by_vector, by_terms, round(list_inner_product(y.v, z.v), 9) AS score, weight, CASE WHEN list_inner_product(y.v, z.v) >= 0.92 OR y.text = z.text AND y.text <> '' THEN 'duplicate'
