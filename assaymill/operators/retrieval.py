@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaymill import schemas as S
+
 METRICS = ("recall", "hit", "complete", "mrr", "ndcg", "precision", "context_precision")
 
 
@@ -46,3 +48,30 @@ def retrieval_summary(metrics: DataFrame, groups: DataFrame | None = None, by: S
     """(by..., k, questions, mean of each metric); ``groups`` (query_id, ...) gives the columns to group by."""
     rows = metrics if groups is None else metrics.join(groups.select("query_id", *by), "query_id")
     return rows.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
+
+
+def diagnosed(results: DataFrame, traces: DataFrame, gold: DataFrame, known: DataFrame, k: int = 5, budget: int = 3) -> DataFrame:
+    """(query_id, n_gold, n_known, n_found, n_context, diagnosis): the first cause of each failed result, in the order in which causes exclude each other.
+
+    ``results``: (query_id, score, error, answerable, sound, represented, faithful, safe), of which flags that are null are
+    taken as good; ``known``: (item_id), the evidence that parsing kept. An error is D9; a question that the material
+    can't answer D7; an unsound sample, or one without gold evidence, D6; evidence that parsing lost D1; terms or
+    relations that are wrong D2; evidence that isn't among the first ``k`` D3; evidence that isn't among the ``budget`` that
+    went into the context D4; a faithful answer that breaks a rule D8; any other D5. Results that passed have none.
+    """
+    once = traces.where("query_id IS NOT NULL AND item_id IS NOT NULL AND rank IS NOT NULL").groupBy("query_id", "item_id").agg(F.min("rank").alias("rank"))
+    placed = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item_id")))
+    wanted = gold.where("query_id IS NOT NULL AND item_id IS NOT NULL").select("query_id", "item_id").distinct()
+    there = known.select("item_id", F.lit(True).alias("_known")).distinct()
+    sums = wanted.join(placed, ["query_id", "item_id"], "left").join(there, "item_id", "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_gold"), F.count("_known").alias("n_known"), F.count_if(F.col("rank") <= k).alias("n_found"), F.count_if(F.col("rank") <= budget).alias("n_context")
+    )
+    counts = ("n_gold", "n_known", "n_found", "n_context")
+    rows = results.join(sums, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
+    bad = lambda c: ~F.coalesce(F.col(c), F.lit(True))
+    fewer = lambda c: F.col(c) < F.col("n_gold")
+    code = (
+        F.when(F.col("error").isNotNull(), "D9").when(F.coalesce(F.col("score") >= S.PASS_SCORE, F.lit(False)), None).when(bad("answerable"), "D7").when(bad("sound") | (F.col("n_gold") == 0), "D6")
+        .when(fewer("n_known"), "D1").when(bad("represented"), "D2").when(fewer("n_found"), "D3").when(fewer("n_context"), "D4").when(bad("safe") & ~bad("faithful"), "D8").otherwise("D5")
+    )
+    return rows.select("query_id", *counts, code.alias("diagnosis"))

@@ -86,3 +86,21 @@ def met_crosstab(s: SparkSession, d: str) -> DataFrame:
     """Cases over difficulty, type and priority, with all margins, and how many statements they stand for."""
     rows = view(s, d, "case").select("case_id", "difficulty", "eiu_id").join(view(s, d, "eiu").selectExpr("eiu_id", "eiu_type AS kind", "content_priority AS priority"), "eiu_id")
     return B.crosstab(rows, ["difficulty", "kind", "priority"], ["eiu_id"])
+
+
+@query(f"""WITH t AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY r, item_id) AS rank FROM (SELECT query_id, item_id, min(rank) AS r FROM ({_TRACE}) GROUP BY 1, 2)), g AS (SELECT DISTINCT query_id, item_id FROM ({_GOLD})),
+s AS (SELECT query_id, count(*) AS n_gold, count(CASE WHEN item_id % 40 <> 7 THEN 1 END) AS n_known, count(CASE WHEN rank <= 4 THEN 1 END) AS n_found, count(CASE WHEN rank <= 2 THEN 1 END) AS n_context FROM g LEFT JOIN t USING (query_id, item_id) GROUP BY 1),
+r AS (SELECT o_orderkey AS query_id, o_orderkey % 10 < 2 AS passed, o_orderkey % 19 = 0 AS broken, o_custkey % 23 <> 0 AS answerable, o_custkey % 17 <> 0 AS sound, o_orderkey % 29 <> 0 AS represented, o_orderkey % 3 <> 0 AS faithful, o_custkey % 2 = 0 AS safe FROM orders)
+SELECT query_id, CAST(coalesce(n_gold, 0) AS BIGINT) AS n_gold, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known, CAST(coalesce(n_found, 0) AS BIGINT) AS n_found, CAST(coalesce(n_context, 0) AS BIGINT) AS n_context,
+CASE WHEN broken THEN 'D9' WHEN passed THEN NULL WHEN NOT answerable THEN 'D7' WHEN NOT sound OR n_gold IS NULL THEN 'D6' WHEN n_known < n_gold THEN 'D1' WHEN NOT represented THEN 'D2' WHEN n_found < n_gold THEN 'D3' WHEN n_context < n_gold THEN 'D4'
+WHEN NOT safe AND faithful THEN 'D8' ELSE 'D5' END AS diagnosis FROM r LEFT JOIN s USING (query_id)""")
+def met_diagnosis(s: SparkSession, d: str) -> DataFrame:
+    """Why orders failed: their lines as what was retrieved, lines of every other supplier as evidence, of which parsing lost some."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id"), F.col("l_linenumber").alias("rank"), "l_suppkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    results = s.read.parquet(f"{d}/orders.parquet").select(
+        k.alias("query_id"), F.when(k % 10 < 2, 1.0).otherwise(0.0).alias("score"), F.when(k % 19 == 0, "timeout").alias("error"), (c % 23 != 0).alias("answerable"), (c % 17 != 0).alias("sound"),
+        (k % 29 != 0).alias("represented"), (k % 3 != 0).alias("faithful"), (c % 2 == 0).alias("safe"),
+    )
+    known = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_id")).where("item_id % 40 <> 7")
+    return R.diagnosed(results, lines.where("rank <> 2"), lines.where("l_suppkey % 2 = 0"), known, 4, 2)

@@ -46,6 +46,21 @@ def test_retrieval_by_hand(spark):
     assert by["m", 5].questions == 2 and by["m", 5].recall == round(1 / 3, 6)
 
 
+def test_first_causes(spark):
+    """One failed result for each cause, where later causes hold as well."""
+    schema = "query_id int, score double, error string, answerable boolean, sound boolean, represented boolean, faithful boolean, safe boolean"
+    rows = [
+        (1, 0.0, "timeout", False, None, None, None, None), (2, 1.0, None, False, None, None, None, None), (3, 0.0, None, False, False, None, None, None), (4, None, None, None, False, None, None, None), (5, 0.0, None, None, None, None, None, None),
+        (6, 0.0, None, None, None, False, None, None), (7, 0.0, None, None, None, False, None, None), (8, 0.0, None, None, None, None, None, False), (9, 0.0, None, None, None, None, None, False), (10, 0.0, None, None, None, None, None, False), (11, 0.0, None, None, None, None, False, False),
+    ]
+    gold = [(q, "a") for q in (1, 2, 3, 4, 7, 8, 9, 10, 11)] + [(6, "lost"), (8, "b"), (8, "b"), (None, "a")]
+    traces = [(8, "a", 1), (9, "x", 1), (9, "y", 2), (9, "a", 5), (10, "a", 1), (11, "a", 1), (11, "a", 2)]
+    known = spark.createDataFrame([("a",), ("a",), ("b",)], "item_id string")
+    out = R.diagnosed(spark.createDataFrame(rows, schema), spark.createDataFrame(traces, "query_id int, item_id string, rank int"), spark.createDataFrame(gold, "query_id int, item_id string"), known, k=3, budget=2)
+    got = {x.query_id: x.diagnosis for x in out.collect()}
+    assert got == {1: "D9", 2: None, 3: "D7", 4: "D6", 5: "D6", 6: "D1", 7: "D2", 8: "D3", 9: "D4", 10: "D8", 11: "D5"}
+
+
 def test_answers_by_hand(spark):
     rows = [
         ("The cat sat", "the cat cat", 2 / 3, None), ("", "", 1.0, None), (None, "x", 0.0, None), ("利率为5%", "利率5%", 6 / 7, True), ("about 30,000 yuan", "3万元", 0.0, True), ("0.05", "５％", 0.0, True),
