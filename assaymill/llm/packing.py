@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, size: int, key: str = "doc_
             rows, keys = [], iter(batch.column(0).to_pylist())
             for ids, bounds in coder.encode(batch.column(1)):
                 raw = ids.tobytes()
-                for doc, b, e in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist(), strict=False):
+                for b, e, doc in zip(bounds[:-1].tolist(), bounds[1:].tolist(), keys, strict=False):  # bounds end first, so that no key is taken for nothing
                     for i, (s, n) in enumerate(pieces_of(e - b + 1, size)):
                         crc = zlib.crc32(raw[4 * (b + s) : 4 * min(b + s + n, e)])
                         rows.append((doc, i, s, n, crc if b + s + n <= e else zlib.crc32(end, crc), part, seen[n]))

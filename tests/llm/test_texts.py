@@ -156,6 +156,19 @@ def test_packing_is_whole_and_tight(spark, everything):
     assert packing.pack(everything.limit(0)).count() == 0
 
 
+def test_packing_of_batches_that_are_cut(spark):
+    """Texts of one Arrow batch that the encoder takes in several parts keep their own ids, to the last document."""
+    texts = {i: " ".join(f"w{i} {j * j}" for j in range(i * 97 % 4000)) for i in range(120)}
+    assert sum(map(len, texts.values())) > 3 * tokens.TEXT_BYTES
+    library, want = Tokenizer.from_file(tokens.vocabulary()), {}
+    for i, t in texts.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        for k, (at, n) in enumerate(packing.pieces_of(len(ids), 1024)):
+            want[i, k] = (at, n, zlib.crc32(ids[at : at + n].tobytes()))
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+
+
 def test_packing_plan_places_every_piece():
     r = Random(3)
     for _ in range(30):
