@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assaymill import schemas as S
 from assaymill.functions.scoring import rate
 from assaymill.functions.text import answer_key, trimmed
+from assaymill.operators.terms import small
 
 TURN = "struct<q:string,a:string,key_turn:boolean,turn_type:string,depends_on_turns:array<int>>"
 
@@ -107,14 +108,15 @@ def samples(native: DataFrame | None, uploaded: DataFrame | None, public: DataFr
 
 def composed(items: DataFrame, rows: DataFrame, distinct_sets: bool = False) -> DataFrame:
     """Samples of each item, in its dimension if it names one. Two items of one source meet each other's samples,
-    as their sets are told apart only with ``distinct_sets``."""
+    as their sets are told apart only with ``distinct_sets``. Items that aren't many go to all tasks, for a source's key has all of its samples."""
     ref = F.coalesce("version_id", "set_id").cast("long")
     wanted = items.select("item_pos", F.col("source"), ref.alias("ref_id"), F.nullif(F.col("dimension"), F.lit("")).alias("_dim"))
     if not distinct_sets:
-        loaded = rows.join(wanted.select("source", "ref_id", F.col("item_pos").alias("loaded_by")), ["source", "ref_id"])
-        out = loaded.join(wanted.select("item_pos", "source", "_dim"), "source")
+        loading, meeting = small(wanted.select("source", "ref_id", F.col("item_pos").alias("loaded_by"))), small(wanted.select("item_pos", "source", "_dim"))
+        loaded = rows.join(loading, ["source", "ref_id"])
+        out = loaded.join(meeting, "source")
     else:
-        out = rows.join(wanted, ["source", "ref_id"])
+        out = rows.join(small(wanted), ["source", "ref_id"])
     return out.where(F.col("_dim").isNull() | (F.col("_dim") == F.col("dimension"))).drop("_dim")
 
 
