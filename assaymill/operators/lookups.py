@@ -101,12 +101,17 @@ def to_check(cases: DataFrame) -> DataFrame:
     return cases.withColumn("turn", turn).where("turn IS NOT NULL")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The keys in as many parts as the session's shuffles have: keys in a row shrink so well that parts merged by their bytes would hold nearly all."""
+    return rows.select(key).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+    return _dealt(a, key).distinct().join(_dealt(b, key), key, "left_semi")
 
 
 def missing_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    return a.select(key).distinct().join(b.select(key), key, "left_anti")
+    return _dealt(a, key).distinct().join(_dealt(b, key), key, "left_anti")
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
