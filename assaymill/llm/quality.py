@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .bytewise import joined, lower, runs, span_hashes, sums
 from .common import ready, whole_text
 from .labelled import fold, training_rows
+from .tokens import release
 
 #: Labelled rows of either label that the trees may learn from, at most.
 EACH = 6000
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Boosted:
     ready(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             x = featured(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["_key", "label", "x"])
@@ -182,6 +184,7 @@ def keep_good(docs: DataFrame, model: Boosted, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield b.filter(pa.array(model.score(featured(b.column(at))) >= THRESHOLD))
 

@@ -12,6 +12,7 @@ pattern, go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -160,6 +161,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Gives a worker's encoders back to the system, before tasks that need none: workers stay between the stages of a pipeline."""
+    if _encoders:
+        _encoders.clear()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers

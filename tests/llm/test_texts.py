@@ -111,6 +111,21 @@ def test_encoder_on_random_texts():
     assert encoded(e, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoders_are_given_back(spark):
+    """A worker that scores quality after it encoded holds no encoder."""
+    from assaymill.llm import quality
+
+    model = quality.Boosted(9.0, *(np.zeros((0, n)) for n in (31, 31, 32)))
+    tokens.encoder(tokens.vocabulary())
+    held = lambda it: map(lambda b: pa.RecordBatch.from_pydict({"n": pa.array([len(tokens._encoders)], pa.int32())}), it)
+    one = spark.range(1).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
+    packing.pieces(one, tokens.vocabulary(), 2, 1024).collect()
+    quality.keep_good(one, model).collect()
+    assert {r.n for r in one.mapInArrow(held, "n int").collect()} <= {0}
+    tokens.release()
+    assert not tokens._encoders
+
+
 def test_token_files_round_trip(spark, everything, monkeypatch):
     monkeypatch.setattr(token_output, "IDS_A_FILE", 500)
     monkeypatch.setattr(tokens, "TEXT_BYTES", 2000)
