@@ -100,3 +100,20 @@ def test_bounds_skip_most_cells_of_clusters():
     assert (bound >= score).all()
     fifth = np.sort(x @ x.T, 1)[:, -6]
     assert (bound >= fifth[:, None]).mean() < 0.1
+
+
+def test_queries_meet_only_groups_of_their_labels(spark):
+    """Items of other labels can't count, so a query isn't sent to groups that hold only such items."""
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    there = N.usable(frame(spark, [(i, v.tolist(), None, "ab"[i % 2]) for i, v in enumerate(x)]), "item_id", 8, ["kind"]).withColumn("bucket", N._bucket(["kind"]))
+    known = np.array(sorted({r.bucket for r in there.select("bucket").collect()}))
+    assert len(known) == 2
+    dealt = N._dealt(there, x[:5], known)
+    cells = N._cells(dealt, x[:5], known)
+    assert len(cells.number) == 10 and not set(cells.group[cells.bucket == known[0]]) & set(cells.group[cells.bucket == known[1]])
+    asked = there.selectExpr("*", "double('-infinity') AS least", "-1L AS done")
+    of = {r.id: r.bucket for r in there.select("id", "bucket").collect()}
+    for first in (True, False):
+        met = N._routes(asked, cells, first).select("g", "id").collect()
+        assert {r.id for r in met} == set(range(400))
+        assert all(r.g >> 20 in cells.group[cells.bucket == of[r.id]] for r in met)
