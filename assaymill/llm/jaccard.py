@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import lower, row_hashes, runs, span_hashes
-from .common import kept, run_folder, small_or_joined, spread, stored, whole_text
+from .common import kept, run_folder, small_or_joined, spread, stored, trim, whole_text
 from .graph import components, forest
 from .quality import pieces
 
@@ -44,7 +44,7 @@ HOT_LEVEL = 10
 #: Ids that are sent to all tasks at most, and rounds of dropping classes that share too little.
 IDS_AT_ONCE, PRUNINGS = 2_000_000, 2
 #: Sets that are compared with as many others at once, their bytes, and shingles of them that are looked at together.
-BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 8192
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
 IN_WORD = np.ones(256, bool)
 IN_WORD[[32, *range(9, 14)]] = False
 
@@ -73,14 +73,17 @@ def order_of(docs: DataFrame) -> Broadcast:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.uint32)  # a task's texts are far fewer
         for b in batches:
             for raw, at in pieces(b.column(1)):
                 each = [np.unique(slot(u)) for u in shingles(raw, at)]
                 u, n = np.unique(np.concatenate(each) if each else np.empty(0, np.int64), return_counts=True)
-                total[u] += n
+                total[u] += n.astype(np.uint32)
         out = np.flatnonzero(total >= max(2, 4 * total.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(total[out])], names=["slot", "n"])
+        n = total[out].astype(np.int64)
+        del total
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(n)], names=["slot", "n"])
+        trim()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -136,6 +139,8 @@ def summaries(docs: DataFrame, order: Broadcast) -> DataFrame:
             flat = pa.array(np.concatenate(firsts).view(np.int64) if firsts else [], pa.int64())
             columns = [b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "key", "first"])
+            del sizes, keys, firsts, ends, flat, columns
+        trim()
 
     return docs.mapInArrow(go, "id long, mark long, n long, key binary, first array<long>")
 
@@ -287,6 +292,7 @@ def joined_blocks(hosts: DataFrame, guests: DataFrame, sets: DataFrame) -> DataF
                 link = shared * (100 + SHARE) >= (sizes[0][:, None] + sizes[1]) * SHARE
                 edges = np.array(forest(link), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[0][edges[:, 0]]), pa.array(ids[1][edges[:, 1]])], names=["a", "b"])
+        trim()
 
     spark = sets.sparkSession
     pairs = blocks(hosts, "one").join(blocks(guests, "other"), "region").select("one", "other").repartition(spread(spark))

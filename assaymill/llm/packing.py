@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, run_folder, stored, whole_text
+from .common import kept, run_folder, stored, trim, whole_text
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, k long"
@@ -108,6 +108,8 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, size: int, key: str = "doc_
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            del rows, columns
+        trim()
 
     return whole_text(docs, key, text).select(F.col(key).cast("long").alias(key), text).mapInArrow(cut, PIECES)
 

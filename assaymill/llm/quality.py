@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import joined, lower, runs, span_hashes, sums
-from .common import ready, whole_text
+from .common import ready, trim, whole_text
 from .labelled import fold, training_rows
 from .tokens import release
 
@@ -27,7 +27,9 @@ FOLDS, HELD, THRESHOLD = 4, 2, 0.7
 #: Sign classes whose share of all bytes is a feature.
 SIGNS = ("#", "%", "&", "*", "$", "|", "!", ".", ",", "?", "-", "/", ":;", "()[]{}<>", "'\"", "@_=+^~`\\")
 #: Longest stretch whose bytes are looked at together.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
+#: Rows that are scored and given back together.
+ROWS = 1000
 
 
 def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +187,9 @@ def keep_good(docs: DataFrame, model: Boosted, text: str = "text") -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in batches:
-            yield b.filter(pa.array(model.score(featured(b.column(at))) >= THRESHOLD))
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                yield b.filter(pa.array(model.score(featured(b.column(at))) >= THRESHOLD))
+        trim()
 
     return docs.mapInArrow(go, docs.schema)

@@ -12,7 +12,6 @@ pattern, go to the library whole.
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import re
@@ -23,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 from .bytewise import joined
+from .common import trim
 
 #: Units of a generation that a worker keeps, beyond which it forgets those not asked for since the one before; and the longest one that is kept.
 UNIT_LIMIT, UNIT_BYTES = 150_000, 200
@@ -88,9 +88,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        spec = json.loads(self.tokenizer.to_str())
-        pattern = spec["pre_tokenizer"] or {}
-        self.cuttable = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and all(pattern.get(k) == v for k, v in PATTERN.items())
+        split = self.tokenizer.pre_tokenizer
+        pattern = json.loads(split.__getstate__()) if split else {}  # not of the whole file, whose vocabulary would be parsed with it
+        self.cuttable = self.tokenizer.normalizer is None and type(self.model).__name__ == "BPE" and all(pattern.get(k) == v for k, v in PATTERN.items())
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.shown = alphabet()
         self.blank = chr(self.shown[32])
@@ -165,8 +165,7 @@ def release() -> None:
     """Gives a worker's encoders back to the system, before tasks that need none: workers stay between the stages of a pipeline."""
     if _encoders:
         _encoders.clear()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        trim()
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

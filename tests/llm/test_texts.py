@@ -126,6 +126,23 @@ def test_encoders_are_given_back(spark):
     assert not tokens._encoders
 
 
+def test_no_encoder_parses_its_vocabulary_again(monkeypatch):
+    """What an encoder asks its file is the pattern; the vocabulary as text and as Python objects stayed in each worker."""
+    asked = []
+    monkeypatch.setattr(tokens.json, "loads", lambda text, known=tokens.json.loads: asked.append(len(text)) or known(text))
+    assert tokens.Encoder(tokens.vocabulary()).cuttable
+    assert max(asked) < 10_000
+
+
+def test_shared_counts_hold_little(monkeypatch):
+    """Two blocks of sets are compared by narrow stretches of their shingles, with the same counts."""
+    sets, held = [np.unique(np.random.default_rng(i % 7).integers(0, 1 << 40, 9000, np.uint64)) for i in range(24)], []
+    monkeypatch.setattr(jaccard, "incidence", lambda *a, made=jaccard.incidence: held.append(made(*a)) or held[-1])
+    counts = jaccard.shared_counts(sets, sets)
+    assert counts.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert max(x.nbytes / len(x) for x in held) * jaccard.BLOCK <= 4 << 20
+
+
 def test_token_files_round_trip(spark, everything, monkeypatch):
     monkeypatch.setattr(token_output, "IDS_A_FILE", 500)
     monkeypatch.setattr(tokens, "TEXT_BYTES", 2000)
